@@ -97,7 +97,7 @@ def snapshot_changes(
       snapshot per series, gives no rows. Other columns are ignored, also if
       they are named like the result's.
 
-    The list of snapshots is broadcast if it has at most ``broadcast_rows``
+    The lists of snapshots and of series are broadcast if they have at most ``broadcast_rows``
     rows, else joined by a shuffle.
     """
     src = rows.select(
@@ -113,16 +113,15 @@ def snapshot_changes(
     vals = [F.col(f"__v{i}") for i in range(len(values))]
     both = [row_hash(parts + keys).alias("__k"), F.hash(*parts, *keys).alias("__k2")]
 
-    w = W.partitionBy("__s").orderBy("__code", "__p")
     latest = (
-        src.groupBy("__s", "__p")
+        src.groupBy("__s", *parts, "__p")
         .agg(F.max("__d").alias("__d"))
         .withColumn("__code", code(F.col("__p")).cast("int"))
         .where("__code is not null")
     )
     # Notations that mean the same period are one period here.
     latest = (
-        latest.groupBy("__s", "__code").agg(F.max("__d").alias("__d"), F.collect_set("__p").alias("__p"))
+        latest.groupBy("__s", *parts, "__code").agg(F.max("__d").alias("__d"), F.collect_set("__p").alias("__p"))
     )
     w = W.partitionBy("__s").orderBy("__code")
     latest = (
@@ -130,7 +129,8 @@ def snapshot_changes(
         .withColumn("__next", F.coalesce(F.lead("__code").over(w), F.lit(NONE)))
         .withColumn("__p", F.explode("__p"))
     )
-    snaps = broadcast_if_small(materialize(latest, "snapshots"), broadcast_rows)
+    latest = materialize(latest, "snapshots")
+    snaps = broadcast_if_small(latest.drop(*[f"__s{i}" for i in range(len(series))]), broadcast_rows)
 
     compact = (
         src.select("__s", "__p", "__d", *both, row_hash(vals).alias("__value"))
@@ -146,9 +146,11 @@ def snapshot_changes(
         .repartition("__k")
     )
     found = map_arrow(compact, _compare, "__k bigint, __k2 int, __code int, __kind tinyint")
-    names = src.select(*both, *parts, *keys).distinct()
+    names = src.select(*both, "__s", *keys).distinct()
+    titles = latest.where("__place = 0").select("__s", *parts).distinct()
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    return found.join(names.hint("shuffle_hash"), ["__k", "__k2"]).select(
+    named = found.join(names.hint("shuffle_hash"), ["__k", "__k2"]).join(broadcast_if_small(titles, broadcast_rows), "__s")
+    return named.select(
         *[F.col(f"__s{i}").alias(c) for i, c in enumerate(series)],
         label(F.col("__code")).alias(period),
         *[F.col(f"__key{i}").alias(c) for i, c in enumerate(key)],

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast. It is checked against the real
 #: row count; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 _shipped: set[str] = set()
 
