@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlake.llm import abuse, bpe, lookalike, mixture, survivors
+from chartlake.llm import abuse, bpe, lookalike, matching, mixture, survivors
 from chartlake.runtime import materialize, table
 
 
@@ -59,6 +59,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(*_mixture(spark, d))
 
 
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Matching rows of different services with their confidence."""
+    return matching.match_records(table(spark, d, "match_results"), "result_id", "service")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The matching pairs."""
+    return p4_pairs(spark, d).select(F.col("id_a").alias("result_id_a"), F.col("id_b").alias("result_id_b"))
+
+
 FILLED = ("canonical_yt_video_id", "yt_title", "yt_artist", "yt_album")
 GOOD = ("matched", "cached_match", "proxy_matched", "manual_override")
 
@@ -129,6 +139,8 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
+    "p4_found": p4_found,
+    "p4_pairs": p4_pairs,
     "p5_found": p5_found,
     "p5_survivors": p5_survivors,
     "p6_ids": p6_ids,
