@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +27,8 @@ from chartlake.runtime import map_arrow, materialize
 
 #: Weakly labelled pairs that training uses at most, chosen by a hash.
 MAX_TRAIN_PAIRS = 20_000
-#: MinHash bands; each is one hash of the title and one of the artist.
-BANDS = 6
+#: MinHash bands, by the hashes of the title and of the artist in each.
+BANDS = ((1, 2),) * 5 + ((2, 1),) * 4
 #: Records in which a name must be found to be established.
 ESTABLISHED = 3
 
@@ -196,12 +197,6 @@ def _resolved(rows: DataFrame, names: str, words: DataFrame) -> DataFrame:
     )
 
 
-def _grams(name: str) -> np.ndarray:
-    t = name.replace(" ", "")
-    x = {*t, *(t[i : i + 2] for i in range(len(t) - 1))}
-    return np.array([hash_text(g) for g in x], np.uint64)
-
-
 def hash_text(t: str) -> int:
     h = 1469598103934665603
     for c in t:
@@ -209,31 +204,36 @@ def hash_text(t: str) -> int:
     return h
 
 
-_MULS = np.array([hash_text(f"band {i}") | 1 for i in range(BANDS)], np.uint64)
+_MULS = np.array([hash_text(f"hash {i}") | 1 for i in range(2 * len(BANDS))], np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _minhash(name: str) -> np.ndarray:
-    g = _grams(name)
+def _minhash(name: str, side: int) -> np.ndarray:
+    """One hash per band of the pairs of letters of a name."""
+    t = f"^{name.replace(' ', '')}$"
+    g = np.array([hash_text(t[i : i + 2]) for i in range(len(t) - 1)], np.uint64)
     h = g[None, :] * _MULS[:, None]
-    return (h ^ (h >> np.uint64(31))).min(axis=1)
+    h = (h ^ (h >> np.uint64(31))).min(axis=1).reshape(-1, 2)
+    two = np.array([b[side] == 2 for b in BANDS])
+    return np.where(two, h[:, 0] * _MIX ^ h[:, 1], h[:, 0])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[str, np.ndarray] = {}
-    mix = np.uint64(0x9E3779B97F4A7C15)
+    seen: dict[tuple[str, int], np.ndarray] = {}
+    turn = np.arange(len(BANDS), dtype=np.uint64)
 
-    def of(name: str) -> np.ndarray:
-        if name not in seen:
+    def of(name: str, side: int) -> np.ndarray:
+        if (name, side) not in seen:
             if len(seen) > 100_000:  # a cache only
                 seen.clear()
-            seen[name] = _minhash(name)
-        return seen[name]
+            seen[name, side] = _minhash(name, side)
+        return seen[name, side]
 
     for b in batches:
         ids, keys = [], []
         for rep, titles, artists, kind in zip(*(b.column(i).to_pylist() for i in range(4))):
             salt = np.uint64(hash_text(kind))
-            k = {int(x) for t in titles for a in artists for x in ((of(t) * mix ^ of(a)) * mix ^ salt) + np.arange(BANDS, dtype=np.uint64)}
+            k = {int(x) for t in titles for a in artists for x in ((of(t, 0) * _MIX ^ of(a, 1)) * _MIX ^ salt) * _MIX + turn}
             ids += [rep] * len(k)
             keys += k
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["rep", "key"])
@@ -255,6 +255,12 @@ def edits(a: str, b: str) -> int:
     return one[-1]
 
 
+def least_edits(a: str, b: str) -> int:
+    """A bound of ``edits`` from below, by the letters alone."""
+    x, y = Counter(a), Counter(b)
+    return max((x - y).total(), (y - x).total())
+
+
 def closeness(xs: list[str], ys: list[str]) -> tuple[float, float, str, str]:
     """Best similarity of two sets of names, its edits, and the names."""
     best = (0.0, 9.0, "", "")
@@ -265,7 +271,7 @@ def closeness(xs: list[str], ys: list[str]) -> tuple[float, float, str, str]:
         for y in ys:
             a, b = x.replace(" ", ""), y.replace(" ", "")
             size = max(len(a), len(b), 1)
-            if abs(len(a) - len(b)) > 0.4 * size or size > 400:
+            if size > 400 or 1 - least_edits(a, b) / size <= max(best[0], 0.4):
                 continue
             d = edits(a, b)
             if 1 - d / size > best[0]:
@@ -289,8 +295,8 @@ FEATURES = 10
 def features(xt: list[str], yt: list[str], xa: list[str], ya: list[str], known: set[str]) -> list[float]:
     """Features of a pair: similarity, equality and one edit of titles and of
     artists, the worst word, and whether different names are both established."""
-    t, td, t1, t2 = closeness(xt, yt)
     a, ad, a1, a2 = closeness(xa, ya)
+    t, td, t1, t2 = closeness(xt, yt)
     both = lambda p, q: float(p != q and p in known and q in known)
     return [
         1.0, t, a, float(td == 0), float(ad == 0), float(td <= 1), float(ad <= 1), both(t1, t2), both(a1, a2),
