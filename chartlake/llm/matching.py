@@ -112,37 +112,41 @@ def part_of(names: list[str]) -> str:
     return " ".join(sorted(found))
 
 
-def clip_translation(clip: str, known: list[str], artists: list[str]) -> str | None:
-    """The title in another script beside a known one in a video's title."""
+def clip_translation(clip: str, known: list[str], artists: list[str]) -> tuple[bool, str | None]:
+    """Whether a video's title holds a known one, and the title in another
+    script beside it."""
     t = CLIP.sub(" ", clip)
     if "_" in t:
         t = t.split("_", 1)[1]
     quoted = re.findall(r"'(.+)'", t)
     hangul = lambda x: re.search("[가-힣]", x) is not None
+    holds = False
     for piece in quoted or re.split(r"\||\s-\s", t):
         names, _ = parse_title(piece.strip())
         for k in known:
             for n in names:
-                if n == k and len(names) == 2:
-                    rest = names[1 - names.index(n)]
+                rest = None
+                if n == k:
+                    rest = names[1 - names.index(n)] if len(names) == 2 else None
                 elif n.startswith(k + " "):
                     rest = n[len(k) + 1 :]
                 elif n.endswith(" " + k):
                     rest = n[: -len(k) - 1]
                 else:
                     continue
-                if hangul(rest) != hangul(k) and rest not in artists:
-                    return rest
-    return None
+                holds = True
+                if rest and hangul(rest) != hangul(k) and rest not in artists:
+                    return True, rest
+    return holds, None
 
 
-FIELDS = ("title", "artist", "title_en", "artist_en", "title_ko", "artist_ko", "yt_title")
+FIELDS = ("title", "artist", "title_en", "artist_en", "title_ko", "artist_ko", "yt_title", "yt_artist")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         text = {f: [x or "" for x in canonical_array(b.column(2 + i)).to_pylist()] for i, f in enumerate(FIELDS)}
-        rows: dict[str, list] = {k: [] for k in ("titles", "artists", "title_en", "title_ko", "artist_en", "artist_ko", "version", "part")}
+        rows: dict[str, list] = {k: [] for k in ("titles", "artists", "title_en", "title_ko", "artist_en", "artist_ko", "artist_seen", "version", "part")}
         for i in range(b.num_rows):
             raw, v = parse_title(text["title"][i])
             en, ve = parse_title(text["title_en"][i])
@@ -150,7 +154,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = list(dict.fromkeys([*raw, *en, *ko]))
             artists = parse_artist(text["artist"][i])
             aen, ako = parse_artist(text["artist_en"][i]), parse_artist(text["artist_ko"][i])
-            other = clip_translation(text["yt_title"][i], names, [*artists, *aen, *ako]) if text["yt_title"][i] else None
+            holds, other = clip_translation(text["yt_title"][i], names, [*artists, *aen, *ako]) if text["yt_title"][i] else (False, None)
+            seen = parse_artist(re.sub(r"(?i)( - topic| official)$", "", text["yt_artist"][i])) if holds else []
             if other and part_of([other]) == part_of(names):
                 names.append(other)
             rows["titles"].append(list(dict.fromkeys(names)))
@@ -159,6 +164,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows["title_ko"].append(ko[0] if ko else None)
             rows["artist_en"].append(aen[0] if len(aen) == 1 else None)
             rows["artist_ko"].append(ako[0] if len(ako) == 1 else None)
+            rows["artist_seen"].append(seen[0] if len(seen) == 1 and seen[0] != "various" else None)
             rows["version"].append(" ".join(sorted(v | ve | vk)))
             rows["part"].append(part_of(names))
         lists = pa.list_(pa.string())
@@ -168,12 +174,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _dictionary(rows: DataFrame, names: str, en: str, ko: str, single: bool) -> DataFrame:
-    """``(name, hub, known)``: the English name that most records with this
-    name give, else the Korean one; and whether the name is established."""
+def _dictionary(rows: DataFrame, names: str, hubs: list[str], single: bool) -> DataFrame:
+    """``(name, hub, known)``: the name that most records with this name give
+    in the first of the columns ``hubs`` that any of them fills; and whether
+    the name is established."""
     src = rows.where(F.size(names) <= 2) if single else rows
-    each = src.select(F.explode(names).alias("name"), en, ko)
-    hubs = each.select("name", F.coalesce(F.col(en), F.col(ko)).alias("hub"), F.col(en).isNotNull().alias("first"))
+    each = src.select(F.explode(names).alias("name"), *hubs)
+    level = F.coalesce(*[F.when(F.col(c).isNotNull(), len(hubs) - i) for i, c in enumerate(hubs)])
+    hubs = each.select("name", F.coalesce(*[F.col(c) for c in hubs]).alias("hub"), level.alias("first"))
     votes = hubs.groupBy("name", "hub", "first").agg(F.count("*").alias("n"))
     best = votes.groupBy("name").agg(
         F.max_by("hub", F.when(F.col("hub").isNotNull(), F.struct("first", "n", "hub"))).alias("hub"), F.sum("n").alias("seen")
@@ -388,11 +396,11 @@ def match_records(df: DataFrame, key: str, source: str, threshold: float = 0.5,
         src.where("id is not null and origin is not null"),
         _parse,
         "id bigint, origin string, titles array<string>, artists array<string>, title_en string, title_ko string, "
-        "artist_en string, artist_ko string, version string, part string",
+        "artist_en string, artist_ko string, artist_seen string, version string, part string",
     )
     rows = materialize(parsed.where("size(titles) > 0 and size(artists) > 0").dropDuplicates(["id"]), "parsed")
-    title_words = _dictionary(rows, "titles", "title_en", "title_ko", single=False)
-    artist_words = _dictionary(rows, "artists", "artist_en", "artist_ko", single=True)
+    title_words = _dictionary(rows, "titles", ["title_en", "title_ko"], single=False)
+    artist_words = _dictionary(rows, "artists", ["artist_en", "artist_seen", "artist_ko"], single=True)
     t = _resolved(rows, "titles", title_words)
     a = _resolved(rows, "artists", artist_words)
     flat = rows.select("id", "origin", "version", "part", "title_en", "artist_en", F.col("titles").alias("raw_titles"), F.col("artists").alias("raw_artists"))
