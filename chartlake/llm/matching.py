@@ -27,8 +27,11 @@ from chartlake.runtime import map_arrow, materialize
 
 #: Weakly labelled pairs that training uses at most, chosen by a hash.
 MAX_TRAIN_PAIRS = 20_000
-#: MinHash bands, by the hashes of the title and of the artist in each.
-BANDS = ((1, 2),) * 5 + ((2, 1),) * 4
+#: MinHash bands, by the hashes of the title and of the artist in each. Many
+#: songs share a title, so artists have to be told apart more sharply.
+BANDS = ((1, 3),) * 12
+#: Edits between the nearest titles and the nearest artists of a candidate pair.
+MOST_EDITS = 4
 #: Records in which a name must be found to be established.
 ESTABLISHED = 3
 
@@ -212,7 +215,8 @@ def hash_text(t: str) -> int:
     return h
 
 
-_MULS = np.array([hash_text(f"hash {i}") | 1 for i in range(2 * len(BANDS))], np.uint64)
+_DEPTH = max(max(b) for b in BANDS)
+_MULS = np.array([hash_text(f"hash {i}") | 1 for i in range(_DEPTH * len(BANDS))], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -221,9 +225,11 @@ def _minhash(name: str, side: int) -> np.ndarray:
     t = f"^{name.replace(' ', '')}$"
     g = np.array([hash_text(t[i : i + 2]) for i in range(len(t) - 1)], np.uint64)
     h = g[None, :] * _MULS[:, None]
-    h = (h ^ (h >> np.uint64(31))).min(axis=1).reshape(-1, 2)
-    two = np.array([b[side] == 2 for b in BANDS])
-    return np.where(two, h[:, 0] * _MIX ^ h[:, 1], h[:, 0])
+    h = (h ^ (h >> np.uint64(31))).min(axis=1).reshape(-1, _DEPTH)
+    out = h[:, 0]
+    for k in range(1, _DEPTH):
+        out = np.where([b[side] > k for b in BANDS], out * _MIX ^ h[:, k], out)
+    return out
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,7 +424,12 @@ def match_records(df: DataFrame, key: str, source: str, threshold: float = 0.5,
     near = keys.alias("k").join(keys.alias("l"), (F.col("k.key") == F.col("l.key")) & (F.col("k.rep") < F.col("l.rep")))
     near = materialize(near.select(F.col("k.rep").alias("x"), F.col("l.rep").alias("y")).distinct(), "near")
     pairs = near.join(reps.alias("a"), F.col("x") == F.col("a.rep")).join(reps.alias("b"), F.col("y") == F.col("b.rep"))
+    close = lambda p, q: F.exists(p, lambda x: F.exists(q, lambda y: F.levenshtein(x, y, MOST_EDITS) >= 0))
     pairs = pairs.where("a.version = b.version and a.part = b.part")
+    pairs = pairs.where(close(F.col("a.artists"), F.col("b.artists")) & close(F.col("a.titles"), F.col("b.titles")))
+    pairs = materialize(
+        pairs.select("x", "y", *[F.struct(*[F.col(f"{s}.{c}") for c in reps.columns]).alias(s) for s in "ab"]), "pairs"
+    )
     model = train(*_weak(pairs, max_train))
     scored = _score(pairs.select("x", "y", "a.titles", "b.titles", "a.artists", "b.artists", "a.known", "b.known").toDF("x", "y", "t", "u", "a", "c", "k", "l"), model.weights)
     same = float(model.confidence(np.array([features(["x"], ["x"], ["y"], ["y"], set())]))[0])
