@@ -188,7 +188,7 @@ def failed_latest(spark, d):
 def match_conflicts(spark, d):
     """What matches of a batch (every tenth binding moved) contradict."""
     bind, tracks, _, _ = dims(spark, d)
-    batch = bind.select("service", "song_id", F.when(F.crc32("song_id") % 10 == 0, F.concat("track_uid", F.lit("x"))).otherwise(F.col("track_uid")).alias("track_uid"), F.concat(F.lit("v"), F.substring("song_id", 1, 3)).alias("video_id"))
+    batch = bind.select("service", "song_id", F.when(F.ascii("song_id") % 10 == 0, F.concat("track_uid", F.lit("x"))).otherwise(F.col("track_uid")).alias("track_uid"), F.concat(F.lit("v"), F.substring("song_id", 1, 3)).alias("video_id"))
     return resolve.conflicts(batch, bind, tracks.select("track_uid", F.trim("canonical_yt_video_id").alias("canonical_yt_video_id"))).select("service", "song_id", "track_uid", "other", "reason")
 
 
@@ -229,6 +229,8 @@ ORACLE = {
     "upsert_first_wins": f"{_SIDES} select k, name, id from s where n = 1",
     "upsert_tracks_rule": f"{_SIDES} select k, coalesce(arg_max(name, n) filter (where name <> ''), arg_min(name, n)) as name, coalesce(arg_max(status, n) filter (where status <> 'failed'), arg_min(status, n)) as status, max(coalesce(score, 0)) as score, arg_min(id, n) as id from s group by k",
     "upsert_bindings": "select lower(trim(service, ' ' || chr(9) || chr(10) || chr(13))) as service, trim(song_id, ' ' || chr(9) || chr(10) || chr(13)) as song_id, track_uid from platform_song_ids qualify row_number() over (partition by 1, lower(trim(service, ' ' || chr(9) || chr(10) || chr(13))), trim(song_id, ' ' || chr(9) || chr(10) || chr(13)) order by created_at desc, track_uid desc nulls last) = 1",
+    "upsert_metadata": "select lower(trim(service, ' ' || chr(9) || chr(10) || chr(13))) as service, trim(song_id, ' ' || chr(9) || chr(10) || chr(13)) as song_id, coalesce(max(nullif(title_ko, '')), '') as title_ko, coalesce(max(nullif(title_en, '')), '') as title_en, coalesce(max(nullif(artist_en, '')), '') as artist_en from track_list group by 1, 2",
+    "match_conflicts": f"with {_DIMS}, x as (select service, song_id, case when ascii(song_id) % 10 = 0 then track_uid || 'x' else track_uid end as track_uid, track_uid as old, 'v' || substr(song_id, 1, 3) as video_id from bind) select service, song_id, track_uid, old as other, 'service_song_id_already_bound' as reason from x where old <> track_uid union select service, song_id, x.track_uid, trim(canonical_yt_video_id), 'same_track_uid_different_video' from x join tracks t on t.track_uid = x.track_uid where trim(canonical_yt_video_id) <> '' and video_id <> trim(canonical_yt_video_id)",
     "replace_partition": "with e as (select event_id, strftime(ts, '%Y-%m-%d') as day, event_type, user_id from events), b as (select * from e where event_id % 10 = 0 and day >= '2024-01-20') select * from e where not exists (select 1 from b where b.day = e.day and b.event_type = e.event_type) union all select * from b",
     "retention_filter": "select event_id from events where ts >= timestamp '2024-01-30' - interval 15 days",
     "rebind_merge": "select o_orderkey, coalesce(c_custkey - 1, o_custkey) as o_custkey from orders left join (select * from customer where c_custkey % 10 = 3) c on o_custkey = c_custkey",
