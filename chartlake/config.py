@@ -58,7 +58,7 @@ def load_aliases(spark: SparkSession, path: str) -> DataFrame:
     out = None
     for kind in ("artists", "titles", "albums"):
         one = raw.select(F.explode(F.coalesce(kind, F.array().cast("array<array<string>>"))).alias("c"))
-        one = one.select(F.filter(F.transform("c", F.trim), lambda x: x != "").alias("c"))
+        one = one.select(F.filter(F.transform("c", lambda x: F.trim(x)), lambda x: x != "").alias("c"))
         one = one.select(F.lit(kind).alias("kind"), F.explode("c").alias("name"), "c").withColumn("key", norm_match(F.col("name")))
         out = one if out is None else out.unionByName(one)
     names = out.where("key <> ''").groupBy("kind", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))).alias("variants"))

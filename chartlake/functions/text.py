@@ -166,7 +166,7 @@ def stable_uid(seed: Column) -> Column:
 def split_artists(c: Column) -> Column:
     """Names of an artist credit."""
     parts = F.split(c, r"\s*(?:,|&| and | x | X | with |\+)\s*|\s+(?:및|와|과)\s+")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def paren_variants(c: Column) -> Column:
@@ -175,14 +175,14 @@ def paren_variants(c: Column) -> Column:
     pattern = r"^(.*?)\s*[\(\[/（]\s*(.*?)\s*[\)\]/）]\s*$"
     inside = F.array(F.trim(F.regexp_extract(c, pattern, 1)), F.trim(F.regexp_extract(c, pattern, 2)))
     pieces = F.filter(inside, lambda x: x != "")
-    by = lambda d: F.filter(F.transform(F.split(c, rf"\Q{d}\E"), F.trim), lambda x: x != "")
+    by = lambda d: F.filter(F.transform(F.split(c, rf"\Q{d}\E"), lambda x: F.trim(x)), lambda x: x != "")
     split = F.when(c.contains(" / "), by(" / ")).when(c.contains(" | "), by(" | ")).when(c.contains(" - "), by(" - "))
     return F.concat(F.array(c), F.when(F.size(pieces) > 0, pieces).otherwise(F.coalesce(split, F.array().cast("array<string>"))))
 
 
 def distinct_names(names: Column, norm=norm_plain) -> Column:
     """Names without blanks; of names that are normalised alike the first."""
-    clean = F.filter(F.transform(names, F.trim), lambda x: x != "")
+    clean = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != "")
     keys = F.transform(clean, norm)
     return F.filter(clean, lambda x, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1)
 
