@@ -165,8 +165,9 @@ class Model:
     def probability(self, arr: pa.Array) -> np.ndarray:
         parts = [self.raw(*to_codepoints(arr.slice(a, b - a))) for a, b in chunks(arr, 1 << 20)]
         raw = np.concatenate(parts) if parts else np.zeros(0)
-        z = np.clip(self.slope * raw + self.bias, -50, 50)
-        return np.where(np.isinf(raw), 0.0, 1 / (1 + np.exp(-z)))
+        empty = np.isinf(raw)
+        z = np.clip(self.slope * np.where(empty, 0.0, raw) + self.bias, -50, 50)
+        return np.where(empty, 0.0, 1 / (1 + np.exp(-z)))
 
 
 class _Sample:
