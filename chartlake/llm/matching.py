@@ -244,13 +244,16 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return seen[name, side]
 
     for b in batches:
-        ids, keys = [], []
-        for rep, titles, artists, kind in zip(*(b.column(i).to_pylist() for i in range(4))):
+        at, keys = [], []
+        for row, (titles, artists, kind) in enumerate(zip(*(b.column(i).to_pylist() for i in range(1, 4)))):
             salt = np.uint64(hash_text(kind))
             k = {int(x) for t in titles for a in artists for x in ((of(t, 0) * _MIX ^ of(a, 1)) * _MIX ^ salt) * _MIX + turn}
-            ids += [rep] * len(k)
+            at += [row] * len(k)
             keys += k
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["rep", "key"])
+        rows = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*(b.column(i).take(rows) for i in range(3)), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["rep", "titles", "artists", "key"]
+        )
 
 
 def edits(a: str, b: str) -> int:
@@ -419,14 +422,15 @@ def match_records(df: DataFrame, key: str, source: str, threshold: float = 0.5,
         F.array_union(F.first("titles_known"), F.first("artists_known")).alias("known"), raw.alias("raw"),
     ).select("rep", "titles", "artists", "version", "part", "known", "raw.title_en", "raw.artist_en", "raw.raw_titles", "raw.raw_artists")
     reps = materialize(reps, "reps")
-    keys = map_arrow(reps.select("rep", "titles", "artists", F.concat_ws("|", "version", "part")), _bands, "rep bigint, key bigint")
+    lists = "titles array<string>, artists array<string>"
+    keys = map_arrow(reps.select("rep", "titles", "artists", F.concat_ws("|", "version", "part")), _bands, f"rep bigint, {lists}, key bigint")
     keys = materialize(keys, "keys")
-    near = keys.alias("k").join(keys.alias("l"), (F.col("k.key") == F.col("l.key")) & (F.col("k.rep") < F.col("l.rep")))
+    close = lambda c: F.exists(f"k.{c}", lambda x: F.exists(f"l.{c}", lambda y: F.levenshtein(x, y, MOST_EDITS) >= 0))
+    met = (F.col("k.key") == F.col("l.key")) & (F.col("k.rep") < F.col("l.rep"))
+    near = keys.alias("k").join(keys.alias("l"), met & close("artists") & close("titles"))
     near = materialize(near.select(F.col("k.rep").alias("x"), F.col("l.rep").alias("y")).distinct(), "near")
     pairs = near.join(reps.alias("a"), F.col("x") == F.col("a.rep")).join(reps.alias("b"), F.col("y") == F.col("b.rep"))
-    close = lambda p, q: F.exists(p, lambda x: F.exists(q, lambda y: F.levenshtein(x, y, MOST_EDITS) >= 0))
     pairs = pairs.where("a.version = b.version and a.part = b.part")
-    pairs = pairs.where(close(F.col("a.artists"), F.col("b.artists")) & close(F.col("a.titles"), F.col("b.titles")))
     pairs = materialize(
         pairs.select("x", "y", *[F.struct(*[F.col(f"{s}.{c}") for c in reps.columns]).alias(s) for s in "ab"]), "pairs"
     )

@@ -112,7 +112,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Probability from which a document counts as abusive.
-ABUSIVE = 0.9
+ABUSIVE = 0.7
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
