@@ -22,9 +22,9 @@ from chartlake.llm.codepoints import chunks, offsets_of, row_ids, to_codepoints
 from chartlake.llm.lookalike import LATIN, OTHER, canonical, tables
 from chartlake.runtime import map_arrow
 
-#: Labelled documents that training uses at most, half of them of each label,
-#: chosen by a hash of their id.
-MAX_TRAIN_DOCS = 5_000
+#: Labelled documents that training uses at most, a third of them abusive, chosen
+#: by a hash of their id.
+MAX_TRAIN_DOCS = 8_000
 BITS = 20
 GRAMS = (2, 3, 4, 5)
 TIGHT = (3, 4, 5)
@@ -319,7 +319,8 @@ def labelled(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS)
         .groupBy("doc_id")
         .agg(F.avg(F.col("toxic").cast("double")).alias("share"))
     )
-    some = [votes.where(test).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2) for test in ("share > 0.5", "share < 0.5")]
+    most = {"share > 0.5": max_docs // 3, "share < 0.5": max_docs - max_docs // 3}
+    some = [votes.where(test).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for test, n in most.items()]
     votes = F.broadcast(some[0].union(some[1]))
     rows = docs.select("doc_id", "text").where("text <> ''").join(votes, "doc_id").orderBy("doc_id").collect()
     return [r.text for r in rows], np.array([r.share > 0.5 for r in rows], bool)
