@@ -162,3 +162,16 @@ def reference_period(weekly: Column, aligned_weekday: Column, shift: Column, dat
         F.when(weekly, iso_week(date)),
         F.date_sub(date, F.coalesce(shift, F.lit(0))).cast("string"),
     )
+
+
+def friday_of_iso_week(period: Column) -> Column:
+    """The Friday of a week period; null if it is none."""
+    ok = period.rlike("^[0-9]{4}-W[0-9]{2}$")
+    part = lambda at, n: F.when(ok, F.substring(period, at, n)).try_cast("int")
+    return F.date_add(monday_of_iso_week(part(1, 4), part(7, 2)), 4)
+
+
+def period_of_file(path: Column) -> Column:
+    """The last date that a file name holds, dashed or compact, as text."""
+    dates = F.regexp_extract_all(F.substring_index(path, "/", -1), F.lit(r"(\d{4}-?\d{2}-?\d{2})"), 1)
+    return dashed_date(compact_date(F.try_element_at(dates, F.lit(-1))))

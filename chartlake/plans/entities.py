@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from chartlake.functions import periods as P
 from chartlake.functions import text as X
-from chartlake.operators import asof, lookup, merge, resolve
+from chartlake.operators import asof, candidates, heal, lookup, merge, resolve
 from chartlake.operators.components import connected_components, resolve_chains
 from chartlake.plans.charts import chart, dims
 from chartlake.plans.charts import _CHART, _DIMS
+from chartlake.plans.problems import _PERIOD, _TRIM
 from chartlake.runtime import table
+from chartlake.sources import store
 
 SPLIT = "1996-01-01"
 
@@ -199,6 +201,51 @@ def song_lookup_keys(spark, d):
     return n.where("title_en is not null and artist_en is not null").select("service", "song_id", F.inline(k)).withColumn("score", F.round("score", 4))
 
 
+def _songs(spark, d):
+    n = dims(spark, d)[2]
+    return n.select("service", "song_id", F.lit(None).cast("string").alias("video_id"), F.array(X.compact_key(F.col("title_en"), F.col("artist_en"), X.norm_plain)).alias("keys"), F.col("title_en").alias("title"), F.col("artist_en").alias("artist"))
+
+
+def _index(spark, d):
+    t = table(spark, d, "tracks").where("yt_title <> '' and yt_artist <> ''")
+    key = X.compact_key(F.col("yt_title"), F.col("yt_artist"), X.norm_plain)
+    return t.groupBy(key.alias("lookup_key")).agg(F.min_by("track_uid", F.struct(-F.coalesce("best_score", F.lit(0.0)), F.col("track_uid"))).alias("track_uid"), F.max(F.coalesce("best_score", F.lit(0.0))).alias("score"))
+
+
+def heal_bindings(spark, d):
+    """Bindings after all repair passes."""
+    bind, tracks, _, _ = dims(spark, d)
+    videos = tracks.where("canonical_yt_video_id <> ''").groupBy(F.trim("canonical_yt_video_id").alias("video_id")).agg(F.min("track_uid").alias("track_uid"))
+    none = spark.createDataFrame([], "track_uid string")
+    return heal.heal(tracks, bind, _songs(spark, d), videos, _index(spark, d), none)[1]
+
+
+def bracketed_artists(spark, d):
+    """Entities that a song's artist without brackets leads to, if better."""
+    b = dims(spark, d)[0].join(_songs(spark, d).withColumn("artist", F.concat("artist", F.lit(" (x)"))), ["service", "song_id"])
+    return heal.better_without_brackets(b, _index(spark, d))
+
+
+def search_query_lists(spark, d):
+    n = dims(spark, d)[2]
+    q = candidates.search_queries(*[F.col(c) for c in ("title_en", "artist_en", "album_en", "title_ko", "artist_ko", "album_ko")])
+    return n.select("service", "song_id", F.array_join(q, "\n").alias("queries"), F.size(q).alias("n"))
+
+
+def source_audits(spark, d):
+    """An audit row per weekly delivery."""
+    po = table(spark, d, "playlist_order").select("job_name", P.canonical_period(F.col("reference_period")).alias("fetched_period"))
+    g = po.groupBy("job_name", "fetched_period").agg(F.count("*").cast("int").alias("entry_count"))
+    g = g.withColumns({"expected_period": F.col("fetched_period"), "status": F.lit("published")})
+    return store.source_audit(g, F.lit("2026-01-01 00:00:00").cast("timestamp")).select("job_name", "fetched_period", "entry_count", F.length("audit_id").alias("id_length"))
+
+
+def shuffled_order(spark, d):
+    """Songs of one chart in a random order that can be repeated."""
+    c = chart(spark, d).select("service", "song_id").distinct()
+    return store.shuffled(c, 7, "service", "song_id")
+
+
 _NAMES = ("upsert_last_wins", "upsert_last_nonempty", "upsert_argmax", "upsert_first_wins", "upsert_tracks_rule")
 QUERIES = {
     **{n: globals()[n] for n in _NAMES},
@@ -208,6 +255,7 @@ QUERIES = {
             upsert_bindings, upsert_metadata, replace_partition, retention_filter, rebind_merge, rename_chains, shared_videos, same_metadata, component_sizes,
             anti_unbound, semi_bound, failed_bindings, resolved_songs, left_join_count_zero, left_join_group_max, dup_having, candidate_key_first_hit,
             localized_coalesce_join, latest_attempt_ties, failed_latest, match_conflicts, song_lookup_keys,
+            heal_bindings, bracketed_artists, search_query_lists, source_audits, shuffled_order,
         )
     },
 }
@@ -231,6 +279,8 @@ ORACLE = {
     "upsert_bindings": "select lower(trim(service, ' ' || chr(9) || chr(10) || chr(13))) as service, trim(song_id, ' ' || chr(9) || chr(10) || chr(13)) as song_id, track_uid from platform_song_ids qualify row_number() over (partition by 1, lower(trim(service, ' ' || chr(9) || chr(10) || chr(13))), trim(song_id, ' ' || chr(9) || chr(10) || chr(13)) order by created_at desc, track_uid desc nulls last) = 1",
     "upsert_metadata": "select lower(trim(service, ' ' || chr(9) || chr(10) || chr(13))) as service, trim(song_id, ' ' || chr(9) || chr(10) || chr(13)) as song_id, coalesce(max(nullif(title_ko, '')), '') as title_ko, coalesce(max(nullif(title_en, '')), '') as title_en, coalesce(max(nullif(artist_en, '')), '') as artist_en from track_list group by 1, 2",
     "match_conflicts": f"with {_DIMS}, x as (select service, song_id, case when ascii(song_id) % 10 = 0 then track_uid || 'x' else track_uid end as track_uid, track_uid as old, 'v' || substr(song_id, 1, 3) as video_id from bind) select service, song_id, track_uid, old as other, 'service_song_id_already_bound' as reason from x where old <> track_uid union select service, song_id, x.track_uid, trim(canonical_yt_video_id), 'same_track_uid_different_video' from x join tracks t on t.track_uid = x.track_uid where trim(canonical_yt_video_id) <> '' and video_id <> trim(canonical_yt_video_id)",
+    "source_audits": f"with p as (select job_name, {_PERIOD.format(_TRIM.format('reference_period'))} as p from playlist_order) select job_name, case when length(p) = 8 then substr(p, 1, 4) || '-' || substr(p, 5, 2) || '-' || substr(p, 7, 2) else substr(p, 1, 4) || '-' || substr(p, 5, 3) end as fetched_period, count(*) as entry_count, 40 as id_length from p group by 1, 2",
+    "shuffled_order": f"with {_CHART} select distinct service, song_id from chart",
     "replace_partition": "with e as (select event_id, strftime(ts, '%Y-%m-%d') as day, event_type, user_id from events), b as (select * from e where event_id % 10 = 0 and day >= '2024-01-20') select * from e where not exists (select 1 from b where b.day = e.day and b.event_type = e.event_type) union all select * from b",
     "retention_filter": "select event_id from events where ts >= timestamp '2024-01-30' - interval 15 days",
     "rebind_merge": "select o_orderkey, coalesce(c_custkey - 1, o_custkey) as o_custkey from orders left join (select * from customer where c_custkey % 10 = 3) c on o_custkey = c_custkey",

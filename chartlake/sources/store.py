@@ -54,3 +54,32 @@ def playlist_items(df: DataFrame, order: Sequence[Column], by: Sequence[str], ch
 def names_of(json_text: Column) -> Column:
     """Filled names of a JSON array of texts."""
     return F.filter(F.coalesce(F.from_json(json_text, "array<string>"), F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+
+
+def update_audit(items: DataFrame, job: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Run and ordered items of a playlist update (``items`` has ``action,
+    video_id, item_order``), with an id that depends on job and time only."""
+    run = F.sha1(F.concat_ws("|", F.lit(job), now.cast("string")))
+    runs = items.agg(F.count_if(F.col("action") == "add").alias("requested"), F.count_if(F.col("action") == "remove").alias("existing"))
+    runs = runs.select(run.alias("update_run_id"), F.lit(job).alias("job_name"), F.col("requested").cast("int"), F.col("existing").cast("int"), now.alias("created_at"))
+    return runs, items.select(run.alias("update_run_id"), "action", "video_id", "item_order", now.alias("created_at"))
+
+
+def source_audit(deliveries: DataFrame, now: Column) -> DataFrame:
+    """One audit row per delivery (``job_name, expected_period, fetched_period,
+    status, entry_count``); its id depends on these and the time."""
+    cols = ["job_name", "expected_period", "fetched_period", "status", "entry_count"]
+    key = F.sha1(F.to_json(F.struct(*cols, now.cast("string").alias("at"))))
+    return deliveries.select(key.alias("audit_id"), *cols, now.alias("created_at"))
+
+
+def shuffled(df: DataFrame, seed: int, *keys: str) -> DataFrame:
+    """A random order that is the same for the same seed and keys, however the
+    rows are partitioned."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+
+
+def digest_lines(df: DataFrame, by: Sequence[str], order: str, line: Column, output: str = "lines") -> DataFrame:
+    """Lines of each group as one text, in order."""
+    xs = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("x"))
+    return xs.select(*by, F.array_join(F.transform("x", lambda v: v["l"]), "\n").alias(output))

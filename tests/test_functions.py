@@ -32,6 +32,8 @@ def test_periods(spark):
     assert values(spark, ["12.31", "01.02"], lambda c: P.month_day(c, F.lit("2026-01-05").cast("date"))) == [date(2025, 12, 31), date(2026, 1, 2)]
     assert [tuple(r) for r in values(spark, ["2026-W18", "x"], P.week_sort_key)] == [(2026, 18), (0, 0)]
     assert values(spark, ["20260105", "2026-01-05"], P.dashed_date) == ["2026-01-05", "2026-01-05"]
+    assert values(spark, ["2026-W01", "x"], P.friday_of_iso_week) == [date(2026, 1, 2), None]
+    assert values(spark, ["/a/2025-01-01/chart_20260102-20260108.csv", "/a/x.csv"], P.period_of_file) == ["2026-01-08", None]
     assert "2026-W18" > "2026-12-31"
 
 

@@ -245,3 +245,36 @@ def test_groups(spark):
     assert [g for _, g in rows(resolve.greedy_groups(r, "d", ["n"], "v", "i"), "n", "group_id")] == ["i1", "i1", "i1", "i3"]
     g = dict(rows(resolve.identity_groups(r, "n", F.col("v"), F.col("i")), "n", "group_id"))
     assert g[1] == g[2] == g[3] != g[4]
+
+
+def test_heal(spark):
+    from chartlake.operators import heal
+
+    tracks = spark.createDataFrame(
+        [("u1", "v1", "Song", "A", "X", "matched", 0.9, datetime(2025, 1, 1)), ("u2", "v2", "song", "a", "x", "matched", 0.5, datetime(2025, 1, 2)), ("u3", "v3", "Song B", "C (카)", "", "matched", 0.2, datetime(2025, 1, 3)), ("u4", "v4", "Song B", "C", "", "matched", 0.8, datetime(2025, 1, 4))],
+        "track_uid string, canonical_yt_video_id string, yt_title string, yt_artist string, yt_album string, match_status string, best_score double, created_at timestamp",
+    )
+    bind = spark.createDataFrame([("s", "1", "u1"), ("s", "2", "u2"), ("s", "3", "u3")], "service string, song_id string, track_uid string")
+    songs = spark.createDataFrame([("s", "3", None, [], "Song B", "C (카)"), ("s", "4", "v1", [], "", ""), ("s", "5", None, ["song b|c"], "", ""), ("s", "6", None, ["no"], None, None)], "service string, song_id string, video_id string, keys array<string>, title string, artist string")
+    videos = tracks.select(F.col("canonical_yt_video_id").alias("video_id"), "track_uid")
+    index = spark.createDataFrame([("song b|c", "u4", 0.8), ("song b|c 카", "u3", 0.2)], "lookup_key string, track_uid string, score double")
+    none = spark.createDataFrame([], "track_uid string")
+    left, held = heal.heal(tracks, bind, songs, videos, index, none)
+    assert rows(left, "track_uid") == [("u1",), ("u4",)]
+    assert rows(held, "song_id", "track_uid") == [("1", "u1"), ("2", "u1"), ("3", "u4"), ("4", "u1"), ("5", "u4")]
+    again = heal.heal(left, held, songs, videos, index, none)
+    assert rows(again[1], "song_id", "track_uid") == rows(held, "song_id", "track_uid")
+    kept = heal.heal(tracks, bind, songs, videos, index, spark.createDataFrame([("u2",)], "track_uid string"))
+    assert ("u2",) in rows(kept[0], "track_uid")
+
+
+def test_search_queries(spark):
+    from chartlake.operators.candidates import result_album, result_artists, search_queries, staged
+
+    d = spark.createDataFrame([("Song (Sub)", "A & B", "Al - EP", "노래", "가", None), ("", None, None, None, None, None)], "t string, a string, al string, tk string, ak string, alk string")
+    got = [r.q for r in d.select(search_queries(*[F.col(c) for c in ("t", "a", "al", "tk", "ak", "alk")]).alias("q")).collect()]
+    assert got[0][:3] == ["Song (Sub) A & B", "Song (Sub) A & B Al", "노래 가"] and got[0][-2:] == ["Song (Sub)", "노래"] and got[1] == []
+    r = spark.sql("select named_struct('artists', array(named_struct('name', 'x'), named_struct('name', 'y')), 'author', named_struct('name', 'z'), 'podcast', named_struct('name', 'p'), 'album', named_struct('name', ''), 'playlist', named_struct('name', 'l')) as r")
+    assert tuple(r.select(result_artists(F.col("r")), result_album(F.col("r"))).first()) == ("x y", "l")
+    c = spark.createDataFrame([(1, 1, 1, 0.9), (1, 2, 1, 0.2), (2, 1, 1, 0.5), (2, 2, 1, 0.6)], "s int, stage int, place int, score double")
+    assert rows(staged(c, ["s"], "stage", "score"), "s", "stage") == [(1, 1), (2, 1), (2, 2)]
