@@ -182,9 +182,11 @@ def paren_variants(c: Column) -> Column:
 
 def distinct_names(names: Column, norm=norm_plain) -> Column:
     """Names without blanks; of names that are normalised alike the first."""
-    clean = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != "")
-    keys = F.transform(clean, norm)
-    return F.filter(clean, lambda x, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1)
+    pairs = F.transform(names, lambda x: F.struct(F.trim(x).alias("n"), norm(F.trim(x)).alias("k")))
+    start = F.array().cast("array<struct<n:string,k:string>>")
+    fresh = lambda kept, x: (x["n"] != "") & ~F.exists(kept, lambda y: y["k"] == x["k"])
+    kept = F.aggregate(pairs, start, lambda acc, x: F.when(fresh(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return F.transform(kept, lambda x: x["n"])
 
 
 def video_title(c: Column) -> Column:
