@@ -21,6 +21,8 @@ from chartlake.runtime import BROADCAST_ROWS, broadcast_if_small, map_arrow, mat
 
 KINDS = ("added", "removed", "changed")
 BATCH = 1 << 16
+#: Rows that a task sorts at once; more are split into buckets by key.
+TASK_ROWS = 1 << 19
 
 
 def row_hash(cols: Sequence[Column]) -> Column:
@@ -32,8 +34,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
     if not parts:
         return
-    key, packed, periods, value = (np.concatenate(x) for x in zip(*parts))
+    columns = [np.concatenate(x) for x in zip(*parts)]
     del parts
+    buckets = 1 << max(0, int(np.ceil(np.log2(len(columns[0]) / TASK_ROWS))))
+    of = columns[0] >> 7 & (buckets - 1)  # all rows of a key are in one bucket
+    for i in range(buckets):
+        at = slice(None) if buckets == 1 else np.flatnonzero(of == i)
+        if buckets == 1 or len(at):
+            yield from _differences(*(c[at] for c in columns))
+
+
+def _differences(key: np.ndarray, packed: np.ndarray, periods: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted, each key's places are neighbours: a set difference per step."""
     low, place = packed >> 32, packed & 0x7FFFFFFF
     order = np.lexsort((value, place, low, key))
     key, low, place, periods, value = key[order], low[order], place[order], periods[order], value[order]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -66,7 +68,9 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = os.path.join(tempfile.gettempdir(), f"chartlake-{os.getpid()}")
-        os.makedirs(base, exist_ok=True)
+        if not os.path.isdir(base):
+            os.makedirs(base)
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = f"file://{base}"
     return base
 

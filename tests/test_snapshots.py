@@ -75,6 +75,25 @@ def test_random(spark, broadcast):
     assert {"added", "removed", "changed"} == {r[4] for r in want}
 
 
+def test_buckets_in_a_task(monkeypatch):
+    """Splitting a task's rows by key changes nothing."""
+    import numpy as np
+    import pyarrow as pa
+
+    from chartlake.operators import snapshots as S
+
+    rng = np.random.default_rng(1)
+    n = 5000
+    place = rng.integers(0, 5, n)
+    arrays = [rng.integers(-400, 400, n) * 1_234_567_891, rng.integers(-3, 3, n) << 32 | place, place << 32 | np.where(place < 4, place + 1, 2**31), rng.integers(0, 3, n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=list("abcd"))
+    whole = sorted(r for b in S._compare(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns)))
+    monkeypatch.setattr(S, "TASK_ROWS", 300)
+    parts = sorted(r for b in S._compare(iter([batch, batch.slice(0, 0)])) for r in zip(*(c.to_pylist() for c in b.columns)))
+    assert whole == parts and len(whole) > 1000
+    assert list(S._compare(iter([]))) == []
+
+
 def test_empty_and_single(spark):
     assert run(spark, []) == set()
     assert run(spark, [("a", "b", "2026-01-01", "k", 1, None, datetime(2026, 1, 1), None, 1)]) == set()
