@@ -1,10 +1,10 @@
 """What changed between consecutive full snapshots.
 
 Keys and values of every row are reduced to hashes. The compact arrays are
-hash-bucketed by key, so all snapshots of a key meet in one task and a large
-series spreads over all tasks; there they are sorted in numpy and compared by
-``searchsorted`` set differences. Full keys are looked up only for the keys
-that differ.
+bucketed by series, a large series also by key hash; so all snapshots of a key
+meet in one task with the list of its series' snapshots. There they are sorted
+in numpy and compared by ``searchsorted`` set differences. Full keys are looked
+up only for the keys that differ.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartlake.runtime import BROADCAST_ROWS, broadcast_if_small, map_arrow, materialize
@@ -23,6 +22,8 @@ KINDS = ("added", "removed", "changed")
 BATCH = 1 << 16
 #: Rows that a task sorts at once; more are split into buckets by key.
 TASK_ROWS = 1 << 19
+#: Rows of a series that go to one task; a larger series is split by key.
+HOT_ROWS = 2_000_000
 
 
 def row_hash(cols: Sequence[Column]) -> Column:
@@ -34,14 +35,33 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
     if not parts:
         return
-    columns = [np.concatenate(x) for x in zip(*parts)]
+    series, key, packed, delivered, value, real = (np.concatenate(x) for x in zip(*parts))
     del parts
-    buckets = 1 << max(0, int(np.ceil(np.log2(len(columns[0]) / TASK_ROWS))))
+    code = (packed & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+    # The snapshots of each series in order, and the latest delivery of each.
+    order = np.lexsort((delivered, code, series))
+    series, key, packed, delivered, value, real, code = (x[order] for x in (series, key, packed, delivered, value, real, code))
+    fresh = np.ones(len(series), bool)
+    fresh[1:] = (series[1:] != series[:-1]) | (code[1:] != code[:-1])
+    group = np.cumsum(fresh) - 1
+    first = np.flatnonzero(fresh)
+    latest = delivered[np.append(first[1:], len(series)) - 1]
+    owner, codes = series[first], code[first].astype(np.int64)
+    begins = np.ones(len(first), bool)
+    begins[1:] = owner[1:] != owner[:-1]
+    place = np.arange(len(first)) - np.maximum.accumulate(np.where(begins, np.arange(len(first)), 0))
+    following = np.full(len(first), NONE, np.int64)
+    following[:-1] = np.where(begins[1:], NONE, codes[1:])
+    periods = codes << 32 | following & 0xFFFFFFFF
+    at = np.flatnonzero((delivered == latest[group]) & real)
+    columns = key[at], packed[at] >> 32 << 32 | place[group[at]], periods[group[at]], value[at]
+    del series, key, packed, delivered, value, real, code, order, group
+    buckets = 1 << max(0, int(np.ceil(np.log2(max(1, len(at)) / TASK_ROWS))))
     of = columns[0] >> 7 & (buckets - 1)  # all rows of a key are in one bucket
     for i in range(buckets):
-        at = slice(None) if buckets == 1 else np.flatnonzero(of == i)
-        if buckets == 1 or len(at):
-            yield from _differences(*(c[at] for c in columns))
+        some = slice(None) if buckets == 1 else np.flatnonzero(of == i)
+        if len(columns[0][some]):
+            yield from _differences(*(c[some] for c in columns))
 
 
 def _differences(key: np.ndarray, packed: np.ndarray, periods: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -91,6 +111,7 @@ def snapshot_changes(
     code: Callable[[Column], Column],
     label: Callable[[Column], Column],
     broadcast_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows ``(series..., period, key..., change)`` of every key that was added,
     removed or changed between consecutive snapshots of its series.
@@ -109,8 +130,10 @@ def snapshot_changes(
       snapshot per series, gives no rows. Other columns are ignored, also if
       they are named like the result's.
 
-    The lists of snapshots and of series are broadcast if they have at most ``broadcast_rows``
-    rows, else joined by a shuffle.
+    A series of more than ``hot_rows`` rows is split over tasks by key hash. Of
+    such series there are at most as many as ``hot_rows`` goes into all rows, so
+    their list is broadcast. The list of all series is broadcast if it has at
+    most ``broadcast_rows`` rows, else joined by a shuffle.
     """
     src = rows.select(
         row_hash([F.col(c) for c in series]).alias("__s"),
@@ -125,43 +148,25 @@ def snapshot_changes(
     vals = [F.col(f"__v{i}") for i in range(len(values))]
     both = [row_hash(parts + keys).alias("__k"), F.hash(*parts, *keys).alias("__k2")]
 
-    latest = (
-        src.groupBy("__s", *parts, "__p")
-        .agg(F.max("__d").alias("__d"))
-        .withColumn("__code", code(F.col("__p")).cast("int"))
-        .where("__code is not null")
-    )
-    # Notations that mean the same period are one period here.
-    latest = (
-        latest.groupBy("__s", *parts, "__code").agg(F.max("__d").alias("__d"), F.collect_set("__p").alias("__p"))
-    )
-    w = W.partitionBy("__s").orderBy("__code")
-    latest = (
-        latest.withColumn("__place", F.row_number().over(w) - 1)
-        .withColumn("__next", F.coalesce(F.lead("__code").over(w), F.lit(NONE)))
-        .withColumn("__p", F.explode("__p"))
-    )
-    latest = materialize(latest, "snapshots")
-    snaps = broadcast_if_small(latest.drop(*[f"__s{i}" for i in range(len(series))]), broadcast_rows)
-
-    compact = (
-        src.select("__s", "__p", "__d", *both, row_hash(vals).alias("__value"))
-        .join(snaps, ["__s", "__p", "__d"])
-        .select(
-            "__k",
-            F.shiftleft(F.col("__k2").cast("bigint"), 32).bitwiseOR(F.col("__place").cast("bigint")).alias("__kp"),
-            F.shiftleft(F.col("__code").cast("bigint"), 32)
-            .bitwiseOR(F.col("__next").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
-            .alias("__periods"),
-            "__value",
-        )
-        .repartition("__k")
-    )
+    titles = materialize(src.groupBy("__s", *parts).agg(F.count("*").alias("__n")), "series")
+    hot = titles.where(F.col("__n") > hot_rows).select("__s", F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts"))
+    coded = src.select("__s", "__d", *both, row_hash(vals).alias("__value"), code(F.col("__p")).cast("int").alias("__code")).where("__code is not null")
+    pack = F.shiftleft(F.col("__k2").cast("bigint"), 32).bitwiseOR(F.col("__code").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+    columns = ["__s", "__k", pack.alias("__packed"), "__d", "__value"]
+    if hot.limit(1).count() == 0:
+        compact = coded.select(*columns, F.lit(True).alias("__real")).repartition("__s")
+    else:
+        salted = coded.join(F.broadcast(hot), "__s", "left").withColumn("__salt", F.coalesce(F.pmod("__k", "__salts"), F.lit(0)))
+        # Each part of a hot series gets the list of its snapshots.
+        lists = coded.join(F.broadcast(hot), "__s").groupBy("__s", "__salts", "__code").agg(F.max("__d").alias("__d"))
+        lists = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__salts").cast("bigint") - 1)))
+        lists = lists.withColumns({"__k": F.lit(0).cast("bigint"), "__k2": F.lit(0), "__value": F.lit(0).cast("bigint")})
+        every = salted.select(*columns, F.lit(True).alias("__real"), "__salt").unionByName(lists.select(*columns, F.lit(False).alias("__real"), "__salt"))
+        compact = every.repartition("__s", "__salt").drop("__salt")
     found = map_arrow(compact, _compare, "__k bigint, __k2 int, __code int, __kind tinyint")
     names = src.select(*both, "__s", *keys).distinct()
-    titles = latest.where("__place = 0").select("__s", *parts).distinct()
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    named = found.join(names.hint("shuffle_hash"), ["__k", "__k2"]).join(broadcast_if_small(titles, broadcast_rows), "__s")
+    named = found.join(names.hint("shuffle_hash"), ["__k", "__k2"]).join(broadcast_if_small(titles.drop("__n"), broadcast_rows), "__s")
     return named.select(
         *[F.col(f"__s{i}").alias(c) for i, c in enumerate(series)],
         label(F.col("__code")).alias(period),

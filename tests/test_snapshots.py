@@ -52,8 +52,8 @@ def run(spark, rows, **kw):
     return set(got)
 
 
-@pytest.mark.parametrize("broadcast", [0, 1000])
-def test_random(spark, broadcast):
+@pytest.mark.parametrize("how", [{"broadcast_rows": 0}, {"broadcast_rows": 1000}, {"hot_rows": 60}, {"hot_rows": 7}])
+def test_random(spark, how):
     rnd = random.Random(3)
     rows = []
     for a in ("x", None, ""):
@@ -71,7 +71,7 @@ def test_random(spark, broadcast):
         rows.append((a, "b", "2026w04", "k1", 2, None, None, "clash", 1))
     rows.append(("x", "b", "no period", "k1", 1, None, datetime(2026, 2, 1), None, None))
     want = brute([r for r in rows if r[2] != "no period"])
-    assert run(spark, rows, broadcast_rows=broadcast) == want
+    assert run(spark, rows, **how) == want
     assert {"added", "removed", "changed"} == {r[4] for r in want}
 
 
@@ -84,9 +84,11 @@ def test_buckets_in_a_task(monkeypatch):
 
     rng = np.random.default_rng(1)
     n = 5000
-    place = rng.integers(0, 5, n)
-    arrays = [rng.integers(-400, 400, n) * 1_234_567_891, rng.integers(-3, 3, n) << 32 | place, place << 32 | np.where(place < 4, place + 1, 2**31), rng.integers(0, 3, n)]
-    batch = pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=list("abcd"))
+    series = rng.integers(0, 3, n)
+    key = rng.integers(-400, 400, n) * 1_234_567_891 + series
+    packed = rng.integers(-3, 3, n) << 32 | rng.integers(0, 9, n) * 2
+    arrays = [series, key, packed, rng.integers(0, 2, n), rng.integers(0, 3, n), np.ones(n, bool)]
+    batch = pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=list("abcdef"))
     whole = sorted(r for b in S._compare(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns)))
     monkeypatch.setattr(S, "TASK_ROWS", 300)
     parts = sorted(r for b in S._compare(iter([batch, batch.slice(0, 0)])) for r in zip(*(c.to_pylist() for c in b.columns)))
