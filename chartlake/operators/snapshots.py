@@ -23,7 +23,7 @@ BATCH = 1 << 16
 #: Rows that a task sorts at once; more are split into buckets by key.
 TASK_ROWS = 1 << 19
 #: Rows of a series that go to one task; a larger series is split by key.
-HOT_ROWS = 2_000_000
+HOT_ROWS = 1_000_000
 
 
 def row_hash(cols: Sequence[Column]) -> Column:
