@@ -55,7 +55,7 @@ def identity_keys(spark, d):
 
 def identity_groups(spark, d):
     """Rows of one brand or name, joined through common rows: group sizes."""
-    t = _titles(spark, d).where("p_partkey % 3 = 0")
+    t = _titles(spark, d)
     g = resolve.identity_groups(t, "p_partkey", F.substring("name", 1, 6), F.col("p_brand"))
     return g.groupBy("group_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("groups"))
 
@@ -147,7 +147,7 @@ def json_props(spark, d):
 
 def json_walk(spark, d):
     """Objects of nested JSON, found wherever they stand."""
-    e = table(spark, d, "events").where("event_id % 2 = 0").select(F.col("event_id").cast("string").alias("url"), F.concat(F.lit('{"a": [{"b": '), "props", F.lit('}, 1, "x"]}')).alias("json"))
+    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("url"), F.concat(F.lit('{"a": [{"b": '), "props", F.lit('}, 1, "x"]}')).alias("json"))
     o = C.walk_json(e, wanted=["k"])
     return o.select(F.col("url").cast("bigint").alias("event_id"), "pos", F.get_json_object("object", "$.k").cast("int").alias("k"))
 
@@ -191,7 +191,7 @@ def fallback_strategies(spark, d):
 
 def balanced_json(spark, d):
     """Objects that are cut out of scripts around a marker."""
-    e = table(spark, d, "events").where("event_id % 3 = 0")
+    e = table(spark, d, "events")
     text = F.concat(F.lit('<script>var x = {"kind":"lockup","q":"a } \\" {","p":'), "props", F.lit("}; var y = {};</script>"))
     o = C.embedded_objects(e.select(F.col("event_id").cast("string").alias("url"), text.alias("text")), '"kind":"lockup"')
     return o.select(F.col("url").cast("bigint").alias("event_id"), F.get_json_object("json", "$.p.k").cast("int").alias("k"))
