@@ -153,11 +153,12 @@ def json_walk(spark, d):
 
 
 def _pages(spark, d):
-    """A page per job: its songs of one period as a table of HTML."""
-    c = chart(spark, d).where("rank_order between 1 and 20 and service = 'melon'")
-    row = F.concat(F.lit('<tr data-song-no="'), "song_id", F.lit('"><td class="rank">'), F.col("rank_order").cast("string"), F.lit('</td><td><span class="none">hidden</span><a href="/watch?v='), "song_id", F.lit('">Song &amp; '), "song_id", F.lit("</a></td></tr>"))
+    """A page per series and period: all its songs as a table of HTML, those
+    without a rank last, with an empty cell."""
+    c = chart(spark, d)
+    row = F.concat(F.lit('<tr data-song-no="'), "song_id", F.lit('"><td class="rank">'), F.coalesce(F.col("rank_order").cast("string"), F.lit("")), F.lit('</td><td><span class="none">hidden</span><a href="/watch?v='), "song_id", F.lit('">Song &amp; '), "song_id", F.lit("</a></td></tr>"))
     url = F.concat_ws("/", F.lit("https://pages.example"), "job_name", "source_variant", "period")
-    rows = c.groupBy(url.alias("url")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank_order", "song_id", row.alias("h")))), lambda x: x["h"]), "").alias("body"))
+    rows = c.groupBy(url.alias("url")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("rank_order").isNull(), "rank_order", "song_id", row.alias("h")))), lambda x: x["h"]), "").alias("body"))
     return rows.select("url", F.concat(F.lit("<html><body><table>"), "body", F.lit("</table></body></html>")).alias("text"))
 
 
@@ -173,10 +174,11 @@ def html_links(spark, d):
 
 
 def csv_charts(spark, d):
-    """Charts as CSV texts and back: rows without an id are skipped."""
-    c = chart(spark, d).where("rank_order between 1 and 30 and service = 'ytmusic'")
-    line = F.concat_ws(",", F.col("rank_order").cast("string"), F.concat(F.lit('"a, '), "song_id", F.lit('"')), F.lit("X"), F.when(F.col("rank_order") != 3, F.concat(F.lit("https://watch.example/watch?v="), "song_id")).otherwise(""))
-    doc = c.groupBy(F.concat_ws("/", "job_name", "source_variant", "period").alias("url")).agg(F.sort_array(F.collect_list(F.struct("rank_order", "song_id", line.alias("l")))).alias("x"))
+    """Charts as CSV texts and back: rows without an id are skipped, and a
+    missing rank is the place among the kept rows."""
+    c = chart(spark, d)
+    line = F.concat_ws(",", F.coalesce(F.col("rank_order").cast("string"), F.lit("")), F.concat(F.lit('"a, '), "song_id", F.lit('"')), F.lit("X"), F.when(~F.col("rank_order").eqNullSafe(3), F.concat(F.lit("https://watch.example/watch?v="), "song_id")).otherwise(""))
+    doc = c.groupBy(F.concat_ws("/", "job_name", "source_variant", "period").alias("url")).agg(F.sort_array(F.collect_list(F.struct(F.col("rank_order").isNull(), "rank_order", "song_id", line.alias("l")))).alias("x"))
     text = F.concat(F.lit("﻿Rank,Track Name,Artist Names,YouTube URL\n"), F.array_join(F.transform("x", lambda v: v["l"]), "\n"))
     return C.parse_csv(doc.select("url", text.alias("text"))).select("url", "rank", "item_id", "title")
 

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 
 import __spark_entry__ as entry
+from chartlake.plans.charts import _CHART
 
 
 def rows(df, *cols):
@@ -43,3 +44,19 @@ def test_json_of_all_events(spark, sf):
     for name in ("json_walk", "balanced_json"):
         got = rows(entry.queries()[name](spark, sf), "event_id", "k")
         assert got == sorted(events, key=str), name
+
+
+def test_pages_and_csv_of_all_charts(spark, sf):
+    url = "job_name || '/' || source_variant || '/' || period"
+    page = "'https://pages.example/' || " + url
+    q = entry.queries()
+    want = sql(sf, f"with {_CHART} select {page}, rank_order, song_id from chart", "playlist_order")
+    assert any(r is None for _, r, _ in want)
+    assert rows(q["html_table"](spark, sf), "url", "rank_order", "song_id") == sorted(want, key=str)
+    links = sorted(((u, s, f"Song &amp; {s}") for u, _, s in want), key=str)
+    assert rows(q["html_links"](spark, sf), "url", "item_id", "title") == links
+    first = Counter((u, 1 if "-W" in u.rsplit("/", 1)[1] else 2) for u, _, _ in want)
+    assert rows(q["fallback_strategies"](spark, sf), "url", "strategy_no", "n") == sorted(((*k, n) for k, n in first.items()), key=str)
+    place = f"coalesce(rank_order, row_number() over (partition by {url} order by rank_order nulls last, song_id))"
+    want = sql(sf, f"with {_CHART} select {url}, {place}, song_id, 'a, ' || song_id from chart where rank_order is distinct from 3", "playlist_order")
+    assert rows(q["csv_charts"](spark, sf), "url", "rank", "item_id", "title") == sorted(want, key=str)
