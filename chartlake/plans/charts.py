@@ -19,6 +19,7 @@ from chartlake.sources.store import playlist_items
 
 SERIES = ["service", "job_name", "source_variant"]
 GROUPS = ("apple", "melon", "ytmusic")
+# Dates of the SQL below; the queries take every date.
 DAYS = 7
 
 # --- shared relations ------------------------------------------------------
@@ -34,11 +35,11 @@ def chart(spark: SparkSession, d: str) -> DataFrame:
     return last.select(*SERIES, "period", "song_id", F.col("x.rank_order").alias("rank_order"))
 
 
-def dates(spark: SparkSession, d: str, days: int = DAYS) -> DataFrame:
-    """The last days of the anchor job (a history of a fixed number of days)."""
+def dates(spark: SparkSession, d: str) -> DataFrame:
+    """The days after every daily period of the anchor job."""
     facts = table(spark, d, "playlist_order").where("job_name = 'Harbor-Top-100'")
     p = facts.select(P.canonical_period(F.col("reference_period")).alias("p")).where(F.col("p").like("____-__-__")).distinct()
-    return asof.report_dates(p.orderBy(F.desc("p")).limit(days).select(P.history_date(F.col("p")).alias("chart_date")))
+    return asof.report_dates(p.select(P.history_date(F.col("p")).alias("chart_date")))
 
 
 def dims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

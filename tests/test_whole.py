@@ -60,3 +60,11 @@ def test_pages_and_csv_of_all_charts(spark, sf):
     place = f"coalesce(rank_order, row_number() over (partition by {url} order by rank_order nulls last, song_id))"
     want = sql(sf, f"with {_CHART} select {url}, {place}, song_id, 'a, ' || song_id from chart where rank_order is distinct from 3", "playlist_order")
     assert rows(q["csv_charts"](spark, sf), "url", "rank", "item_id", "title") == sorted(want, key=str)
+
+
+def test_reports_of_every_anchor_date(spark, sf):
+    day = "select distinct strftime(period::date + 1, '%Y-%m-%d') from chart where job_name = 'Harbor-Top-100' and period like '____-__-__'"
+    want = sorted(sql(sf, f"with {_CHART} {day}", "playlist_order"))
+    assert len(want) > 7
+    for name in ("effective_period_asof", "hype_report_top", "history_round_trip"):
+        assert rows(entry.queries()[name](spark, sf).select("chart_date").distinct(), "chart_date") == want, name
