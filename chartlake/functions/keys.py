@@ -72,6 +72,17 @@ def video_id(url: Column) -> Column:
     return F.coalesce(F.nullif(v, F.lit("")), F.regexp_extract(url, r"^https?://youtu\.be/([^/?#]+)", 1), F.lit(""))
 
 
+def linked_video(c: Column) -> Column:
+    """The video that a text names as an id, or inside a link as its ``v`` or
+    the last part of its path; null if there is none."""
+    t = F.regexp_replace(c, r"(?U)[\s\p{Z}]+", "")
+    link = F.coalesce(
+        F.nullif(F.regexp_extract(t, r"[?&]v=([0-9A-Za-z_-]+)", 1), F.lit("")),
+        F.nullif(F.regexp_extract(t, r"^[a-zA-Z]+://[^/?#]+/(?:[^?#]*/)?([0-9A-Za-z_-]+)/?(?:[?#].*)?$", 1), F.lit("")),
+    )
+    return F.when(t != "", F.when(F.contains(t, F.lit("://")), F.coalesce(link, t)).otherwise(t))
+
+
 def playlist_id(url: Column) -> Column:
     """The ``list`` parameter of a URL, or the id after ``/playlist/``; else the
     text itself."""

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chartlake.functions.keys import linked_video
 from chartlake.functions.scoring import rank_score
+from chartlake.functions.text import identity_key
 from chartlake.operators.asof import effective_periods
+from chartlake.operators.resolve import greedy_groups
+from chartlake.runtime import materialize
 
 SERIES = ("service", "job_name", "source_variant")
 # Services in the order in which their attributes are preferred.
@@ -22,15 +26,42 @@ def report_rows(facts: DataFrame, dates: DataFrame, bindings: DataFrame, tracks:
     group and weight. Songs without a binding, and entities without a video,
     drop out; metadata and jobs are left-joined."""
     inforce = effective_periods(facts, dates, SERIES)
-    rows = facts.join(inforce, [*SERIES, "period"]).join(bindings.select("service", "song_id", "track_uid"), ["service", "song_id"])
-    t = tracks.where("canonical_yt_video_id <> ''").select("track_uid", F.col("canonical_yt_video_id").alias("video_id"), "yt_title", "yt_artist", "yt_album")
-    rows = rows.join(t, "track_uid")
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    t = tracks.select("track_uid", linked_video(F.col("canonical_yt_video_id")).alias("video_id"), "yt_title", "yt_artist", "yt_album").where("video_id is not null")
     names = metadata.select(
         "service", "song_id", "album_id", "artwork_url",
-        *[F.coalesce(F.nullif(F.col(f"{f}_ko"), F.lit("")), F.col(f"{f}_en")).alias(f) for f in ("title", "artist", "album")],
+        *[F.coalesce(filled(f"{f}_ko"), F.col(f"{f}_en")).alias(f) for f in ("title", "artist", "album")],
     )
+    songs = bindings.select("service", "song_id", "track_uid").join(t, "track_uid").join(names, ["service", "song_id"], "left")
+    songs = songs.withColumn("identity", identity_key(*[F.coalesce(filled(c), F.col(f"yt_{c}")) for c in ("title", "artist")], F.col("video_id")))
     j = jobs.select("job_name", "hype_group", F.col("hype_weight").alias("weight"))
-    return rows.join(names, ["service", "song_id"], "left").join(j, "job_name", "left")
+    return facts.join(inforce, [*SERIES, "period"]).join(songs, ["service", "song_id"]).join(j, "job_name", "left")
+
+
+def grouped_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``report_rows`` with the video of their group in place of
+    their own: that of the group's best-ranked row (ties: service order, then
+    the order of rows).
+
+    Rows of a date are grouped first come by video, then by identity, in the
+    order of service, job, variant, rank and song. A pair of video and identity
+    that comes again changes nothing, so only first ones are folded.
+    """
+    rank = F.coalesce("rank_order", F.lit(NO_RANK))
+    turn = F.struct("service", "job_name", "source_variant", rank.alias("rank"), "song_id")
+    first = rows.groupBy("chart_date", "video_id", "identity").agg(F.min(turn).alias("turn"), F.min(F.struct(rank.alias("rank"), _priority().alias("prio"), turn.alias("turn"))).alias("best"))
+    first = materialize(first, "grouped")
+    pairs = first.select("chart_date", "video_id", "identity", "turn.*")
+    found = greedy_groups(pairs, "chart_date", ["service", "job_name", "source_variant", "rank", "song_id"], "video_id", "identity")
+    found = found.groupBy("chart_date", "video_id").agg(F.min("group_id").alias("group_id"))
+    best = first.groupBy("chart_date", "video_id").agg(F.min("best").alias("best"))
+    main = F.min_by("video_id", "best").over(W.partitionBy("chart_date", "group_id"))
+    main = found.join(best, ["chart_date", "video_id"]).select("chart_date", "video_id", main.alias("__main"))
+    return rows.join(main, ["chart_date", "video_id"]).withColumn("video_id", F.col("__main")).drop("__main")
+
+
+def _priority() -> Column:
+    return F.coalesce(*[F.when(F.col("service") == s, i) for i, s in enumerate(SERVICES)], F.lit(len(SERVICES)))
 
 
 def hype_report(rows: DataFrame, groups: Sequence[str], key: str = "video_id", top: int | None = 200) -> DataFrame:
@@ -45,7 +76,7 @@ def hype_report(rows: DataFrame, groups: Sequence[str], key: str = "video_id", t
     jobs without a group give names only. Ties in the index go by the groups'
     ranks, title and key. ``top`` cuts each date; without it all rows stay.
     """
-    prio = F.coalesce(*[F.when(F.col("service") == s, i) for i, s in enumerate(SERVICES)], F.lit(len(SERVICES)))
+    prio = _priority()
     rank = F.coalesce("rank_order", F.lit(NO_RANK))
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
     part = rank_score(F.col("rank_order")) * F.coalesce("weight", F.lit(0.0))

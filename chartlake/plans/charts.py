@@ -94,7 +94,7 @@ def effective_period_asof(spark, d):
 
 def _rows(spark, d):
     bind, tracks, names, jobs = dims(spark, d)
-    return report.report_rows(chart(spark, d), dates(spark, d), bind, tracks, names, jobs)
+    return report.grouped_rows(report.report_rows(chart(spark, d), dates(spark, d), bind, tracks, names, jobs))
 
 
 def _report(spark, d, top=200):

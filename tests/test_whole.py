@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 
 import __spark_entry__ as entry
+from chartlake.operators import asof, report
 from chartlake.plans.charts import _CHART
 
 
@@ -68,3 +69,18 @@ def test_reports_of_every_anchor_date(spark, sf):
     assert len(want) > 7
     for name in ("effective_period_asof", "hype_report_top", "history_round_trip"):
         assert rows(entry.queries()[name](spark, sf).select("chart_date").distinct(), "chart_date") == want, name
+
+
+def test_report_groups_by_video_and_identity(spark):
+    make = spark.createDataFrame
+    names = [("apple", "a1", "Song", "Artist"), ("melon", "m1", "SONG (Explicit)", "artist"), ("ytmusic", "y1", "Other", "Else"), ("apple", "a2", "Song (Live)", "Artist"), ("melon", "m2", None, None)]
+    songs = [("apple", "a1", "t1"), ("melon", "m1", "t2"), ("ytmusic", "y1", "t3"), ("apple", "a2", "t4"), ("melon", "m2", "t5")]
+    facts = make([("apple", "ja", "x", "2026-01-01", "a1", 5), ("melon", "jm", "x", "2026-01-01", "m1", 2), ("ytmusic", "jy", "x", "2026-01-01", "y1", 7), ("apple", "ja", "x", "2026-01-01", "a2", 1), ("melon", "jm", "x", "2026-01-01", "m2", None)], "service string, job_name string, source_variant string, period string, song_id string, rank_order int")
+    tracks = make([("t1", "v1"), ("t2", "v2"), ("t3", "https://watch.example/watch?v=v1"), ("t4", "v4"), ("t5", " https://short.example/v2 ")], "track_uid string, canonical_yt_video_id string").selectExpr("*", "'' as yt_title", "'' as yt_artist", "'' as yt_album")
+    meta = make(names, "service string, song_id string, title_en string, artist_en string").selectExpr("*", "'' as title_ko", "'' as artist_ko", "'' as album_ko", "'' as album_en", "'' as album_id", "'' as artwork_url")
+    jobs = make([("ja", "apple", 0.4), ("jm", "melon", 0.4), ("jy", "ytmusic", 0.2)], "job_name string, hype_group string, hype_weight double")
+    days = asof.report_dates(make([("2026-01-02",)], "chart_date string"))
+    r = report.grouped_rows(report.report_rows(facts, days, make(songs, "service string, song_id string, track_uid string"), tracks, meta, jobs))
+    assert rows(r, "song_id", "video_id") == [("a1", "v2"), ("a2", "v4"), ("m1", "v2"), ("m2", "v2"), ("y1", "v2")]
+    got = rows(report.hype_report(r, ("apple", "melon", "ytmusic")), "video_id", "apple_rank", "melon_rank", "ytmusic_rank", "entries")
+    assert got == [("v2", 5, 2, 7, 4), ("v4", 1, None, None, 1)]
