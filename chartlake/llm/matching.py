@@ -32,6 +32,8 @@ MAX_TRAIN_PAIRS = 20_000
 BANDS = ((1, 3),) * 12
 #: Edits between the nearest titles and the nearest artists of a candidate pair.
 MOST_EDITS = 4
+#: For long names, these edits a letter of the longer one.
+EDIT_SHARE = 0.2
 #: Records in which a name must be found to be established.
 ESTABLISHED = 3
 
@@ -256,6 +258,35 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+_BASE = np.uint64(0x5851F42D4C957F2D)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _deletions(name: str) -> np.ndarray:
+    """Hashes of a name without spaces, first whole, then without each of its
+    letters: names of which one edit makes the other share one."""
+    c = np.array([ord(x) for x in name.replace(" ", "")], np.uint64) * _MIX
+    c = (c ^ (c >> np.uint64(29))) * _BASE | np.uint64(1)
+    ends = np.cumsum(c * np.cumprod(np.full(len(c), _BASE), dtype=np.uint64), dtype=np.uint64)
+    total = ends[-1:] if len(c) else np.zeros(1, np.uint64)
+    starts = np.concatenate([np.zeros(1, np.uint64), ends[:-1]])[: len(c)]
+    return np.concatenate([total, starts + (total - ends) * _INVERSE])
+
+
+def _edit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of equal titles with artists one edit apart, and the reverse."""
+    for b in batches:
+        reps, keys = [], []
+        for rep, titles, artists, kind in zip(*(b.column(i).to_pylist() for i in range(4))):
+            salt = np.uint64(hash_text(kind))
+            ts, xs = [_deletions(t) for t in titles], [_deletions(a) for a in artists]
+            k = np.unique(np.concatenate([((h * _MIX ^ g) * _MIX ^ salt) * _MIX for t in ts for a in xs for h, g in ((t[:1], a), (t, a[:1]))]))
+            reps.append(np.full(len(k), rep, np.int64))
+            keys.append(k.view(np.int64))
+        if reps:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps)), pa.array(np.concatenate(keys))], names=["rep", "key"])
+
+
 def edits(a: str, b: str) -> int:
     """Edit distance in which a swap of neighbours is one edit."""
     if a == b:
@@ -425,10 +456,16 @@ def match_records(df: DataFrame, key: str, source: str, threshold: float = 0.5,
     lists = "titles array<string>, artists array<string>"
     keys = map_arrow(reps.select("rep", "titles", "artists", F.concat_ws("|", "version", "part")), _bands, f"rep bigint, {lists}, key bigint")
     keys = materialize(keys, "keys")
-    close = lambda c: F.exists(f"k.{c}", lambda x: F.exists(f"l.{c}", lambda y: F.levenshtein(x, y, MOST_EDITS) >= 0))
+    long = lambda x, y: F.greatest(F.length(x), F.length(y)) * EDIT_SHARE
+    near_names = lambda x, y: (F.levenshtein(x, y, MOST_EDITS) >= 0) | ((long(x, y) > MOST_EDITS) & (F.levenshtein(x, y) <= long(x, y)))
+    close = lambda c: F.exists(f"k.{c}", lambda x: F.exists(f"l.{c}", lambda y: near_names(x, y)))
     met = (F.col("k.key") == F.col("l.key")) & (F.col("k.rep") < F.col("l.rep"))
     near = keys.alias("k").join(keys.alias("l"), met & close("artists") & close("titles"))
-    near = materialize(near.select(F.col("k.rep").alias("x"), F.col("l.rep").alias("y")).distinct(), "near")
+    typos = map_arrow(reps.select("rep", "titles", "artists", F.concat_ws("|", "version", "part")), _edit_keys, "rep bigint, key bigint")
+    typos = materialize(typos, "typos")
+    single = typos.alias("k").join(typos.alias("l"), met)
+    ends = [F.col("k.rep").alias("x"), F.col("l.rep").alias("y")]
+    near = materialize(near.select(*ends).union(single.select(*ends)).distinct(), "near")
     pairs = near.join(reps.alias("a"), F.col("x") == F.col("a.rep")).join(reps.alias("b"), F.col("y") == F.col("b.rep"))
     pairs = pairs.where("a.version = b.version and a.part = b.part")
     pairs = materialize(
