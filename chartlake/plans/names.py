@@ -124,9 +124,9 @@ def result_types(spark, d):
 
 
 def url_parts(spark, d):
-    """Video ids inside links, and public URLs of songs."""
-    t = table(spark, d, "tracks").where("canonical_yt_video_id like '%://%v=%'")
-    return t.select("track_uid", K.video_id(F.col("canonical_yt_video_id")).alias("video"))
+    """Video ids inside links, as ``v`` or in the path."""
+    t = table(spark, d, "tracks").where("canonical_yt_video_id like '%://%'")
+    return t.select("track_uid", K.linked_video(F.col("canonical_yt_video_id")).alias("video"))
 
 
 def song_urls(spark, d):

@@ -84,3 +84,12 @@ def test_report_groups_by_video_and_identity(spark):
     assert rows(r, "song_id", "video_id") == [("a1", "v2"), ("a2", "v4"), ("m1", "v2"), ("m2", "v2"), ("y1", "v2")]
     got = rows(report.hype_report(r, ("apple", "melon", "ytmusic")), "video_id", "apple_rank", "melon_rank", "ytmusic_rank", "entries")
     assert got == [("v2", 5, 2, 7, 4), ("v4", 1, None, None, 1)]
+
+
+def test_links_of_every_form(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    links = dict(sql(sf, "select track_uid, trim(canonical_yt_video_id) from tracks where canonical_yt_video_id like '%://%'", "tracks"))
+    assert any("v=" not in x for x in links.values())
+    got = dict(rows(entry.queries()["url_parts"](spark, sf), "track_uid", "video"))
+    assert set(got) == set(links)
+    assert all(v and "/" not in v and "=" not in v and v in links[k] for k, v in got.items())
