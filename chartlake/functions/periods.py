@@ -73,6 +73,11 @@ def canonical_period(c: Column) -> Column:
     return F.coalesce(F.when(day.try_cast("date").isNotNull(), day), week)
 
 
+def period_place(period: Column) -> Column:
+    """Calendar place of a canonical period (see ``period_code``)."""
+    return period_code(compact_period(period))
+
+
 def align_back(d: Column, weekday: Column) -> Column:
     """The last day on or before ``d`` that is ``weekday`` (Monday = 0)."""
     return F.date_sub(d, F.pmod(F.weekday(d) - weekday, F.lit(7)).cast("int"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chartlake.runtime import materialize
+
 
 def first_hit(rows: DataFrame, keys: str, index: DataFrame, key: str, value: str, output: str) -> DataFrame:
     """``rows`` with ``output``: the value of the first key of the array column
@@ -68,8 +70,9 @@ def merge_ranked(first: DataFrame, second: DataFrame, key: Column, rank: str, at
 
 def number(df: DataFrame, order: Sequence[Column], output: str) -> DataFrame:
     """``df`` with its place 1..n in ``order`` without gathering it in one task:
-    range-partitioned, counted per partition, and offset."""
-    sortd = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
+    range-partitioned, written (both uses must see the same partitions),
+    counted per partition, and offset."""
+    sortd = materialize(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__id", 33)
     counts = sortd.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     ahead = counts.withColumn("__ahead", F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).drop("__n")
@@ -77,14 +80,14 @@ def number(df: DataFrame, order: Sequence[Column], output: str) -> DataFrame:
     return out.withColumn(output, (F.col("__ahead") + F.col("__id").bitwiseAND((1 << 33) - 1) + 1).cast("int")).drop("__id", "__part", "__ahead")
 
 
-def diff_by_rank(left: DataFrame, right: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:
+def diff_by_rank(left: DataFrame, right: DataFrame, by: Sequence[str], fields: Sequence[str], per: Sequence[str] = ()) -> DataFrame:
     """Counts of rows of ``left`` that ``right`` lacks at the same place, and of
-    those that differ in each field, apart from case."""
+    those that differ in each field, apart from case; per group of ``per``."""
     r = right.select(*by, *[F.col(f).alias(f"__{f}") for f in fields], F.lit(True).alias("__there"))
     j = left.join(r, list(by), "left")
     there = F.col("__there").isNotNull()
     low = lambda c: F.lower(F.coalesce(c.cast("string"), F.lit("")))
-    return j.agg(
+    return j.groupBy(*per).agg(
         F.count("*").alias("compared"),
         F.count_if(~there).alias("missing"),
         *[F.count_if(there & (low(F.col(f)) != low(F.col(f"__{f}")))).alias(f"{f}_differs") for f in fields],

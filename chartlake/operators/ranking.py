@@ -24,24 +24,40 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) ->
     return rerank(df, by, order, "__k").where(F.col("__k") <= k).drop("__k")
 
 
-def with_previous(df: DataFrame, by: Sequence[str], order: str, value: str, output: str = "previous") -> DataFrame:
+def with_previous(df: DataFrame, by: Sequence[str], order: Column | str, value: str, output: str = "previous") -> DataFrame:
     """``value`` of the row before in each group."""
     return df.withColumn(output, F.lag(value).over(W.partitionBy(*by).orderBy(order)))
 
 
-def previous_period(df: DataFrame, series: Sequence[str], period: str) -> DataFrame:
-    """``series, period, previous``: the period before, over distinct periods."""
-    w = W.partitionBy(*series).orderBy(period)
+def previous_period(df: DataFrame, series: Sequence[str], period: str, place: Column | None = None) -> DataFrame:
+    """``series, period, previous``: the period before by ``place`` (the period
+    itself if none is given), over distinct periods."""
+    w = W.partitionBy(*series).orderBy(F.col(period) if place is None else place)
     return df.select(*series, period).where(F.col(period).isNotNull()).distinct().withColumn("previous", F.lag(period).over(w))
 
 
-def new_entries(df: DataFrame, series: Sequence[str], period: str, item: str) -> DataFrame:
+def with_neighbour(df: DataFrame, periods: DataFrame, series: Sequence[str], period: str, item: str, place: Column | None = None) -> DataFrame:
+    """``series, period, item, previous, there``: for each item the period
+    before (null for the first of a series), and whether it had the item.
+
+    ``periods`` has the periods of every series. The items of a series lie on
+    one line of places (one window per series and item), so the rows are
+    shuffled once and never joined with themselves; null series columns are
+    values, repeated rows count once.
+    """
+    pairs = previous_period(periods, series, period, place)
+    pairs = pairs.withColumn("__n", F.row_number().over(W.partitionBy(*series).orderBy(F.col(period) if place is None else place)))
+    here = df.select(*[F.col(c).alias(f"__{c}") for c in series], period, item).distinct()
+    same = [here[f"__{c}"].eqNullSafe(pairs[c]) for c in series] + [here[period] == pairs[period]]
+    j = here.join(pairs, same).select(*series, here[period], item, "previous", "__n")
+    before = F.lag("__n").over(W.partitionBy(*series, item).orderBy("__n"))
+    return j.withColumn("there", F.coalesce(before == F.col("__n") - 1, F.lit(False))).drop("__n")
+
+
+def new_entries(df: DataFrame, series: Sequence[str], period: str, item: str, place: Column | None = None) -> DataFrame:
     """Items of each period that the period before did not have; the first
     period of a series has none."""
-    pairs = previous_period(df, series, period).where("previous is not null")
-    here = df.select(*series, period, item).distinct().join(pairs, [*series, period])
-    old = df.select(*series, F.col(period).alias("previous"), item).distinct()
-    return here.join(old, [*series, "previous", item], "left_anti").select(*series, period, item)
+    return with_neighbour(df, df, series, period, item, place).where("previous is not null and not there").select(*series, period, item)
 
 
 def concat_sources(parts: Sequence[DataFrame], key: Column, order: Sequence[Column]) -> DataFrame:

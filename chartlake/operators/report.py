@@ -12,7 +12,7 @@ from chartlake.functions.keys import linked_video
 from chartlake.functions.scoring import rank_score
 from chartlake.functions.text import identity_key
 from chartlake.operators.asof import effective_periods
-from chartlake.operators.resolve import greedy_groups
+from chartlake.operators.components import resolve_chains
 from chartlake.runtime import materialize
 
 SERIES = ("service", "job_name", "source_variant")
@@ -21,11 +21,12 @@ SERVICES = ("apple", "melon", "spotify", "ytmusic")
 NO_RANK = 9999
 
 
-def report_rows(facts: DataFrame, dates: DataFrame, bindings: DataFrame, tracks: DataFrame, metadata: DataFrame, jobs: DataFrame) -> DataFrame:
+def report_rows(facts: DataFrame, dates: DataFrame, bindings: DataFrame, tracks: DataFrame, metadata: DataFrame, jobs: DataFrame, periods: DataFrame | None = None) -> DataFrame:
     """One row per chart entry in force at each date, with its entity, names,
     group and weight. Songs without a binding, and entities without a video,
-    drop out; metadata and jobs are left-joined."""
-    inforce = effective_periods(facts, dates, SERIES)
+    drop out; metadata and jobs are left-joined. ``periods`` has the series and
+    periods of ``facts`` where these are at hand without reducing all facts."""
+    inforce = effective_periods(facts if periods is None else periods, dates, SERIES)
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
     t = tracks.select("track_uid", linked_video(F.col("canonical_yt_video_id")).alias("video_id"), "yt_title", "yt_artist", "yt_album").where("video_id is not null")
     names = metadata.select(
@@ -44,20 +45,27 @@ def grouped_rows(rows: DataFrame) -> DataFrame:
     the order of rows).
 
     Rows of a date are grouped first come by video, then by identity, in the
-    order of service, job, variant, rank and song. A pair of video and identity
-    that comes again changes nothing, so only first ones are folded.
+    order of service, job, variant, rank and song. So a video belongs where the
+    first video of its own first identity belongs, which came earlier: the
+    groups of all dates are one forest, whose roots are found by following
+    chains, and no date has to fit in a task.
     """
     rank = F.coalesce("rank_order", F.lit(NO_RANK))
     turn = F.struct("service", "job_name", "source_variant", rank.alias("rank"), "song_id")
-    first = rows.groupBy("chart_date", "video_id", "identity").agg(F.min(turn).alias("turn"), F.min(F.struct(rank.alias("rank"), _priority().alias("prio"), turn.alias("turn"))).alias("best"))
-    first = materialize(first, "grouped")
-    pairs = first.select("chart_date", "video_id", "identity", "turn.*")
-    found = greedy_groups(pairs, "chart_date", ["service", "job_name", "source_variant", "rank", "song_id"], "video_id", "identity")
-    found = found.groupBy("chart_date", "video_id").agg(F.min("group_id").alias("group_id"))
-    best = first.groupBy("chart_date", "video_id").agg(F.min("best").alias("best"))
-    main = F.min_by("video_id", "best").over(W.partitionBy("chart_date", "group_id"))
-    main = found.join(best, ["chart_date", "video_id"]).select("chart_date", "video_id", main.alias("__main"))
-    return rows.join(main, ["chart_date", "video_id"]).withColumn("video_id", F.col("__main")).drop("__main")
+    best = F.struct(rank.alias("rank"), _priority().alias("prio"), turn.alias("turn"))
+    seen = materialize(rows.groupBy("chart_date", "video_id", "identity").agg(F.min(turn).alias("turn"), F.min(best).alias("best")), "seen")
+    videos = seen.groupBy("chart_date", "video_id").agg(F.min_by("identity", "turn").alias("identity"), F.min("best").alias("best"))
+    leads = seen.groupBy("chart_date", "identity").agg(F.min_by("video_id", "turn").alias("__lead"))
+    videos = materialize(videos.join(leads, ["chart_date", "identity"]), "videos")
+    node = lambda v: F.concat_ws("/", "chart_date", v)
+    moves = videos.where("__lead <> video_id").select(node("video_id").alias("old"), node("__lead").alias("new"))
+    ends = resolve_chains(moves, "old", "new")
+    videos = videos.withColumn("__node", node("video_id")).join(ends, F.col("__node") == F.col("old"), "left")
+    top = F.coalesce("new", "__node")
+    mains = videos.groupBy(top.alias("__top")).agg(F.min_by("video_id", "best").alias("__main"))
+    main = videos.withColumn("__top", top).join(mains, "__top").where("__main <> video_id").select("chart_date", "video_id", "__main")
+    out = rows.join(main, ["chart_date", "video_id"], "left")
+    return out.withColumn("video_id", F.coalesce("__main", "video_id")).drop("__main")
 
 
 def _priority() -> Column:

@@ -12,27 +12,38 @@ from chartlake.config import due_jobs, weighted_jobs
 from chartlake.functions import keys as K
 from chartlake.functions import periods as P
 from chartlake.functions import scoring as S
-from chartlake.operators import asof, history, lookup, quality, ranking, report
+from chartlake.operators import asof, history, lookup, merge, quality, ranking, report
 from chartlake.plans.problems import _PERIOD, _TRIM
-from chartlake.runtime import table
+from chartlake.plans.sqltext import identity_sql, video_sql
+from chartlake.runtime import materialize, table
 from chartlake.sources.store import playlist_items
 
 SERIES = ["service", "job_name", "source_variant"]
 GROUPS = ("apple", "melon", "ytmusic")
-# Dates of the SQL below; the queries take every date.
-DAYS = 7
 
 # --- shared relations ------------------------------------------------------
 
 
-def chart(spark: SparkSession, d: str) -> DataFrame:
-    """One rank per series, period and song: that of the last delivery."""
-    po = table(spark, d, "playlist_order").select(
+def observations(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with a song, their series and period in one notation."""
+    return table(spark, d, "playlist_order").select(
         K.service(P.trimmed(F.col("service"))).alias("service"), "job_name", "source_variant",
         P.canonical_period(F.col("reference_period")).alias("period"), P.trimmed(F.col("song_id")).alias("song_id"), "rank_order", "delivered_at",
-    ).where("song_id <> ''")
-    last = po.groupBy(*SERIES, "period", "song_id").agg(F.max_by(F.struct("rank_order"), "delivered_at").alias("x"))
-    return last.select(*SERIES, "period", "song_id", F.col("x.rank_order").alias("rank_order"))
+    ).where("song_id <> '' and period is not null")
+
+
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Series, periods and the delivery that is the snapshot of each."""
+    return observations(spark, d).groupBy(*SERIES, "period").agg(F.max("delivered_at").alias("delivered_at"))
+
+
+def chart(spark: SparkSession, d: str) -> DataFrame:
+    """One rank per series, period and song: the latest delivery of a period is
+    its snapshot as a whole. Of a song's ranks in it the least counts."""
+    last = snapshots(spark, d).select(*[F.col(c).alias(f"__{c}") for c in (*SERIES, "period", "delivered_at")])
+    po = observations(spark, d)
+    same = reduce(lambda a, b: a & b, [po[c].eqNullSafe(last[f"__{c}"]) for c in (*SERIES, "period", "delivered_at")])
+    return po.join(last, same, "left_semi").groupBy(*SERIES, "period", "song_id").agg(F.min("rank_order").alias("rank_order"))
 
 
 def dates(spark: SparkSession, d: str) -> DataFrame:
@@ -43,28 +54,37 @@ def dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    key = [F.lower(P.trimmed(F.col("service"))).alias("service"), P.trimmed(F.col("song_id")).alias("song_id")]
-    bind = table(spark, d, "platform_song_ids").where("track_uid <> ''").select(*key, "track_uid").groupBy("service", "song_id").agg(F.max("track_uid").alias("track_uid"))
-    tracks = table(spark, d, "tracks")
-    names = table(spark, d, "track_list").select(*key, *[c for c in table(spark, d, "track_list").columns if c not in ("service", "song_id")])
-    names = names.groupBy("service", "song_id").agg(*[F.max(F.nullif(F.col(c), F.lit(""))).alias(c) for c in names.columns[2:]])
-    return bind, tracks, names, weighted_jobs(table(spark, d, "sync_jobs"))
-
-
+    """Bindings, entities, names and weighted jobs, by the store's merge rules:
+    the last filled binding of a song, and the last filled text of each name."""
+    keyed = lambda n: table(spark, d, n).withColumns({"service": F.lower(P.trimmed(F.col("service"))), "song_id": P.trimmed(F.col("song_id"))})
+    keys, rules = merge.TABLES["platform_song_ids"]
+    rows = keyed("platform_song_ids").where("track_uid <> ''")
+    bind = merge.merge(rows.limit(0), rows, keys, rules, ["created_at", "track_uid"]).select("service", "song_id", "track_uid")
+    keys, rules = merge.TABLES["track_list"]
+    rows = keyed("track_list").withColumns({f"__{c}": F.coalesce(c, F.lit("")) for c in rules})
+    names = merge.merge(rows.limit(0), rows, keys, rules, [f"__{c}" for c in rules])
+    names = names.select(*keys, *[F.nullif(F.col(c), F.lit("")).alias(c) for c in rules])
+    return bind, table(spark, d, "tracks"), names, weighted_jobs(table(spark, d, "sync_jobs"))
+
+
+_NAMES = ("album_id", "title_ko", "artist_ko", "album_ko", "title_en", "artist_en", "album_en", "artwork_url")
 _CHART = f"""
 obs as (
   select case when lower({_TRIM.format('service')}) in ('youtube', 'youtube_music') then 'ytmusic' else lower({_TRIM.format('service')}) end as service,
     job_name, source_variant, {_PERIOD.format(_TRIM.format('reference_period'))} as p, {_TRIM.format('song_id')} as song_id, rank_order, delivered_at
   from playlist_order),
+last_delivery as (select service, job_name, source_variant, p, max(delivered_at) as delivered_at from obs where song_id <> '' group by all),
 chart as (
-  select service, job_name, source_variant, case when length(p) = 8 then substr(p, 1, 4) || '-' || substr(p, 5, 2) || '-' || substr(p, 7, 2)
-      else substr(p, 1, 4) || '-' || substr(p, 5, 3) end as period, song_id, rank_order
-  from obs where song_id <> ''
-  qualify row_number() over (partition by service, job_name, source_variant, p, song_id order by delivered_at desc) = 1)
+  select o.service, o.job_name, o.source_variant, case when length(o.p) = 8 then substr(o.p, 1, 4) || '-' || substr(o.p, 5, 2) || '-' || substr(o.p, 7, 2)
+      else substr(o.p, 1, 4) || '-' || substr(o.p, 5, 3) end as period, o.song_id, min(o.rank_order) as rank_order
+  from obs o join last_delivery l on l.service = o.service and l.job_name = o.job_name and l.source_variant = o.source_variant
+   and l.p = o.p and l.delivered_at = o.delivered_at
+  where o.song_id <> '' group by all)
 """
-_DATES = f"""
-days as (
-  select distinct period::date + 1 as dd from chart where job_name = 'Harbor-Top-100' and period like '____-__-__' order by 1 desc limit {DAYS}),
+# Place of a period in the calendar: a week stands at its Monday, after that day.
+_PLACE = "(case when {0} like '%-W%' then strptime(substr({0}, 1, 4) || '-' || substr({0}, 7, 2) || '-1', '%G-%V-%u')::date else {0}::date end, {0})"
+_DATES = """
+days as (select distinct period::date + 1 as dd from chart where job_name = 'Harbor-Top-100' and period like '____-__-__'),
 dates as (select strftime(dd, '%Y-%m-%d') as chart_date, strftime(dd - 1, '%Y-%m-%d') as cutoff, strftime(dd, '%G-W%V') as week from days)
 """
 _EFFECTIVE = """
@@ -74,12 +94,13 @@ effective as (
   join dates on (period like '%-W%' and period <= week) or (period not like '%-W%' and period <= cutoff)
   group by all)
 """
-_HEAD = f"with {_CHART}, {_DATES}, {_EFFECTIVE}"
+_HEAD = f"with recursive {_CHART}, {_DATES}, {_EFFECTIVE}"
+_TURN = "(" + ", ".join(f"coalesce({c}, '')" for c in _NAMES) + ")"
 _DIMS = f"""
-bind as (select lower({_TRIM.format('service')}) as service, {_TRIM.format('song_id')} as song_id, max(track_uid) as track_uid
+bind as (select lower({_TRIM.format('service')}) as service, {_TRIM.format('song_id')} as song_id, arg_max(track_uid, (created_at, track_uid)) as track_uid
   from platform_song_ids where track_uid <> '' group by 1, 2),
-meta as (select lower({_TRIM.format('service')}) as service, {_TRIM.format('song_id')} as song_id, max(nullif(title_ko, '')) as title_ko,
-  max(nullif(title_en, '')) as title_en, max(nullif(artist_ko, '')) as artist_ko, max(nullif(artist_en, '')) as artist_en from track_list group by 1, 2),
+meta as (select lower({_TRIM.format('service')}) as service, {_TRIM.format('song_id')} as song_id,
+  {', '.join(f"arg_max({c}, {_TURN}) filter (where {c} <> '') as {c}" for c in _NAMES)} from track_list group by 1, 2),
 jobs as (select job_name, hype_group, coalesce(nullif(hype_weight, 0), case hype_group when 'apple' then 0.4 when 'melon_genz' then 0.4 when 'ytmusic' then 0.2 end, 1.0) as weight
   from sync_jobs where include_in_hype)
 """
@@ -89,12 +110,12 @@ _SCORE = "case when {0} between 1 and 100 then (((100e0/sqrt({0}::double)-10e0)*
 
 
 def effective_period_asof(spark, d):
-    return asof.effective_periods(chart(spark, d), dates(spark, d), SERIES)
+    return asof.effective_periods(snapshots(spark, d), dates(spark, d), SERIES)
 
 
 def _rows(spark, d):
     bind, tracks, names, jobs = dims(spark, d)
-    return report.grouped_rows(report.report_rows(chart(spark, d), dates(spark, d), bind, tracks, names, jobs))
+    return report.grouped_rows(report.report_rows(chart(spark, d), dates(spark, d), bind, tracks, names, jobs, snapshots(spark, d)))
 
 
 def _report(spark, d, top=200):
@@ -149,19 +170,19 @@ def chart_top_k(spark, d):
 
 def previous_rank(spark, d):
     """Rank of each song in the period before in which it was ranked."""
-    return ranking.with_previous(chart(spark, d), [*SERIES, "song_id"], "period", "rank_order", "previous_rank")
+    return ranking.with_previous(chart(spark, d), [*SERIES, "song_id"], P.period_place(F.col("period")), "rank_order", "previous_rank")
 
 
 def new_entries(spark, d):
-    return ranking.new_entries(chart(spark, d), SERIES, "period", "song_id")
+    """Songs that the snapshot before, by calendar, did not have."""
+    c = ranking.with_neighbour(chart(spark, d), snapshots(spark, d), SERIES, "period", "song_id", P.period_place(F.col("period")))
+    return c.where("previous is not null and not there").select(*SERIES, "period", "song_id")
 
 
 def carry_prev_set(spark, d):
-    """Songs of each period that the period before had too."""
-    c = chart(spark, d).select(*SERIES, "period", "song_id")
-    return c.join(ranking.new_entries(c, SERIES, "period", "song_id"), [*SERIES, "period", "song_id"], "left_anti").join(
-        ranking.previous_period(c, SERIES, "period").where("previous is not null"), [*SERIES, "period"]
-    )
+    """Songs of each period that the period before, by calendar, had too."""
+    c = ranking.with_neighbour(chart(spark, d), snapshots(spark, d), SERIES, "period", "song_id", P.period_place(F.col("period")))
+    return c.where("there").select(*SERIES, "period", "song_id", "previous")
 
 
 def repeated_in_run(spark, d):
@@ -181,23 +202,20 @@ def blend_two_lists(spark, d):
 
 
 def chart_diff(spark, d):
-    """Differences between a series' last two periods, by rank."""
-    c = chart(spark, d).where("rank_order is not null")
-    pairs = ranking.previous_period(c, SERIES, "period").where("previous is not null")
-    w = W.partitionBy(*SERIES).orderBy(F.desc("period"))
-    pairs = pairs.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
-    one = c.groupBy(*SERIES, "period", "rank_order").agg(F.min("song_id").alias("song_id"))
-    now = one.join(pairs, [*SERIES, "period"]).select(*SERIES, F.col("previous"), "rank_order", F.col("song_id").alias("now_id"))
-    old = one.select(*SERIES, F.col("period").alias("previous"), "rank_order", F.col("song_id").alias("old_id"))
-    j = now.join(old, [*SERIES, "previous", "rank_order"], "left")
-    return j.groupBy(*SERIES).agg(F.count("*").alias("compared"), F.count_if(F.col("old_id").isNull()).alias("missing"), F.count_if(F.col("old_id") != F.col("now_id")).alias("differs"))
+    """Differences between a series' last two ranked snapshots, by rank."""
+    one = chart(spark, d).where("rank_order is not null").groupBy(*SERIES, "period", "rank_order").agg(F.min("song_id").alias("song_id"))
+    one = materialize(one, "ranked")
+    n = F.row_number().over(W.partitionBy(*SERIES).orderBy(P.period_place(F.col("period")).desc()))
+    last = one.select(*SERIES, "period").distinct().withColumn("n", n)
+    pick = lambda k: one.join(last.where(F.col("n") == k).select(*SERIES, "period"), [*SERIES, "period"])
+    has = last.where("n = 2").select(*SERIES)
+    return lookup.diff_by_rank(pick(1).join(has, SERIES), pick(2), [*SERIES, "rank_order"], ["song_id"], per=SERIES)
 
 
 def playlist_chunks(spark, d):
     """Videos of the last chart of each series in chunks of 50."""
-    c = chart(spark, d)
-    last = c.groupBy(*SERIES).agg(F.max("period").alias("period"))
-    j = c.join(last, [*SERIES, "period"]).join(dims(spark, d)[0], ["service", "song_id"])
+    last = snapshots(spark, d).groupBy(*SERIES).agg(F.max_by("period", P.period_place(F.col("period"))).alias("period"))
+    j = chart(spark, d).join(last, [*SERIES, "period"]).join(dims(spark, d)[0], ["service", "song_id"])
     return playlist_items(j, [F.col("rank_order").asc_nulls_last(), F.col("song_id")], SERIES).select(*SERIES, "song_id", "item_order", "chunk_no")
 
 
@@ -235,12 +253,10 @@ def history_round_trip(spark, d):
 
 
 def dq_expected_count(spark, d):
-    """Rows of each snapshot against the limit of its job."""
-    c = chart(spark, d)
+    """Rows of each snapshot against the limit of its job, by ``count_check``."""
     jobs = table(spark, d, "sync_jobs").where("entity_limit is not null").select("job_name", F.col("entity_limit").alias("expected"))
-    per = c.groupBy(*SERIES, "period").agg(F.count("*").alias("rows")).join(jobs, "job_name")
-    n, e = F.col("rows"), F.col("expected")
-    return per.withColumn("status", F.when(n > e, "over").when(n < e * 0.95, "short").otherwise("ok"))
+    want = snapshots(spark, d).join(jobs, "job_name").select(*SERIES, "period", "expected")
+    return quality.count_check(chart(spark, d), [*SERIES, "period"], want, 0.95).where("expected is not null")
 
 
 def status_histogram(spark, d):
@@ -312,12 +328,33 @@ QUERIES = {
 }
 
 _ROWS = f"""
-rows as (
-  select e.chart_date, c.service, c.job_name, c.source_variant, c.song_id, c.rank_order, t.canonical_yt_video_id as video_id, t.yt_title, t.yt_artist,
-    coalesce(m.title_ko, m.title_en) as title, coalesce(m.artist_ko, m.artist_en) as artist, j.hype_group, j.weight, {_SCORE.format('c.rank_order')} * coalesce(j.weight, 0e0) as part
+songs as (
+  select b.service, b.song_id, {video_sql('t.canonical_yt_video_id')} as own_video, t.yt_title, t.yt_artist, t.yt_album,
+    coalesce(m.title_ko, m.title_en) as title, coalesce(m.artist_ko, m.artist_en) as artist
+  from bind b join tracks t on t.track_uid = b.track_uid left join meta m on m.service = b.service and m.song_id = b.song_id),
+named as (select *, {identity_sql('coalesce(title, yt_title)', 'coalesce(artist, yt_artist)', 'own_video')} as identity from songs where own_video is not null),
+found as (
+  select e.chart_date, c.service, c.job_name, c.source_variant, c.song_id, c.rank_order, n.own_video, n.identity, n.yt_title, n.yt_artist, n.title, n.artist,
+    j.hype_group, j.weight, {_SCORE.format('c.rank_order')} * coalesce(j.weight, 0e0) as part,
+    case c.service when 'apple' then 0 when 'melon' then 1 when 'spotify' then 2 when 'ytmusic' then 3 else 4 end as prio
   from chart c join effective e on c.service = e.service and c.job_name = e.job_name and c.source_variant = e.source_variant and c.period = e.period
-  join bind b on b.service = c.service and b.song_id = c.song_id join tracks t on t.track_uid = b.track_uid and t.canonical_yt_video_id <> ''
-  left join meta m on m.service = c.service and m.song_id = c.song_id left join jobs j on j.job_name = c.job_name)
+  join named n on n.service = c.service and n.song_id = c.song_id left join jobs j on j.job_name = c.job_name),
+seen as (
+  select chart_date, own_video, identity, min((service, job_name, source_variant, coalesce(rank_order, 9999), song_id)) as turn,
+    min((coalesce(rank_order, 9999), prio, service, job_name, source_variant, song_id)) as best
+  from found group by all),
+led as (
+  select chart_date, own_video, arg_min(identity, turn) as identity, min(best) as best from seen group by all),
+leads as (select chart_date, identity, arg_min(own_video, turn) as lead from seen group by all),
+step as (select led.*, lead from led join leads using (chart_date, identity)),
+climb as (
+  select chart_date, own_video, best, lead as top from step
+  union select climb.chart_date, climb.own_video, climb.best, step.lead from climb join step on step.chart_date = climb.chart_date and step.own_video = climb.top),
+tops as (
+  select climb.chart_date, climb.own_video, climb.best, climb.top from climb join step on step.chart_date = climb.chart_date and step.own_video = climb.top
+  where step.lead = climb.top),
+main as (select chart_date, own_video, first_value(own_video) over (partition by chart_date, top order by best) as video_id from tops),
+rows as (select found.*, main.video_id from found join main using (chart_date, own_video))
 """
 _ALL = f"{_HEAD}, {_DIMS}, {_ROWS}"
 _REPORT = f"""{_ALL},
@@ -334,7 +371,7 @@ report as (
   from best where {' + '.join(f'{g}_part' for g in GROUPS)} > 0)
 """
 _S = "service, job_name, source_variant"
-_PREV = f"prev as (select {_S}, period, lag(period) over (partition by {_S} order by period) as previous from (select distinct {_S}, period from chart))"
+_PREV = f"prev as (select {_S}, period, lag(period) over (partition by {_S} order by {_PLACE.format('period')}) as previous from (select distinct {_S}, period from chart))"
 
 ORACLE = {
     "hype_report_top": f"{_REPORT} select chart_date, hype_rank, video_id, hype_index, {', '.join(f'{g}_rank' for g in GROUPS)}, entries from report where hype_rank <= 200",
@@ -346,13 +383,13 @@ ORACLE = {
     "rank_score": f"with {_CHART} select {_S}, period, song_id, round({_SCORE.format('rank_order')}, 6) as score from chart",
     "chart_rerank": f"with {_CHART} select {_S}, period, song_id, row_number() over (partition by {_S}, period order by rank_order nulls last, song_id) as place from chart",
     "chart_top_k": f"with {_CHART} select * from chart qualify row_number() over (partition by {_S}, period order by rank_order nulls last, song_id) <= 10",
-    "previous_rank": f"with {_CHART} select *, lag(rank_order) over (partition by {_S}, song_id order by period) as previous_rank from chart",
+    "previous_rank": f"with {_CHART} select *, lag(rank_order) over (partition by {_S}, song_id order by {_PLACE.format('period')}) as previous_rank from chart",
     "new_entries": f"with {_CHART}, {_PREV} select c.service, c.job_name, c.source_variant, c.period, c.song_id from chart c join prev p on p.service = c.service and p.job_name = c.job_name and p.source_variant = c.source_variant and p.period = c.period and p.previous is not null left join chart o on o.service = c.service and o.job_name = c.job_name and o.source_variant = c.source_variant and o.period = p.previous and o.song_id = c.song_id where o.song_id is null",
     "carry_prev_set": f"with {_CHART}, {_PREV} select c.service, c.job_name, c.source_variant, c.period, c.song_id, p.previous from chart c join prev p on p.service = c.service and p.job_name = c.job_name and p.source_variant = c.source_variant and p.period = c.period join chart o on o.service = c.service and o.job_name = c.job_name and o.source_variant = c.source_variant and o.period = p.previous and o.song_id = c.song_id",
     "repeated_in_run": f"with {_CHART}, {_DIMS} select c.service, job_name, source_variant, period, c.song_id, track_uid from chart c join bind b on b.service = c.service and b.song_id = c.song_id qualify row_number() over (partition by c.service, job_name, source_variant, period, track_uid order by rank_order nulls last, c.song_id) > 1",
     "blend_two_lists": f"with {_CHART}, {_DIMS}, m as (select c.service, track_uid, min(rank_order) as r from chart c join bind b on b.service = c.service and b.song_id = c.song_id where rank_order is not null group by all), j as (select coalesce(a.track_uid, b.track_uid) as track_uid, a.r as rank_1, b.r as rank_2, round(0.6e0 * {_SCORE.format('a.r')} + 0.4e0 * {_SCORE.format('b.r')}, 6) as score from (select * from m where service = 'apple') a full join (select * from m where service = 'melon') b on a.track_uid = b.track_uid) select *, row_number() over (order by score desc, rank_1 nulls last, rank_2 nulls last, track_uid) as combined_rank from j qualify combined_rank <= 100",
-    "chart_diff": f"with {_CHART}, prev as (select {_S}, period, lag(period) over (partition by {_S} order by period) as previous from (select distinct {_S}, period from chart where rank_order is not null)), last as (select * from prev where previous is not null qualify row_number() over (partition by {_S} order by period desc) = 1), one as (select {_S}, period, rank_order, min(song_id) as song_id from chart where rank_order is not null group by all) select n.service, n.job_name, n.source_variant, count(*) as compared, count_if(o.song_id is null) as missing, count_if(o.song_id <> n.song_id) as differs from one n join last l on l.service = n.service and l.job_name = n.job_name and l.source_variant = n.source_variant and l.period = n.period left join one o on o.service = n.service and o.job_name = n.job_name and o.source_variant = n.source_variant and o.period = l.previous and o.rank_order = n.rank_order group by all",
-    "playlist_chunks": f"with {_CHART}, {_DIMS}, last as (select {_S}, max(period) as period from chart group by all), x as (select c.service, c.job_name, c.source_variant, c.song_id, row_number() over (partition by c.service, c.job_name, c.source_variant order by rank_order nulls last, c.song_id) as item_order from chart c join last l on l.service = c.service and l.job_name = c.job_name and l.source_variant = c.source_variant and l.period = c.period join bind b on b.service = c.service and b.song_id = c.song_id) select *, (item_order - 1) // 50 as chunk_no from x",
+    "chart_diff": f"with {_CHART}, per as (select *, row_number() over (partition by {_S} order by {_PLACE.format('period')} desc) as n from (select distinct {_S}, period from chart where rank_order is not null)), one as (select {_S}, period, rank_order, min(song_id) as song_id from chart where rank_order is not null group by all), x as (select one.*, n from one join per using ({_S}, period) where n <= 2) select a.service, a.job_name, a.source_variant, count(*) as compared, count_if(b.song_id is null) as missing, count_if(lower(b.song_id) <> lower(a.song_id)) as song_id_differs from (select * from x where n = 1) a left join (select * from x where n = 2) b using ({_S}, rank_order) where exists (select 1 from per p where p.n = 2 and p.service = a.service and p.job_name = a.job_name and p.source_variant = a.source_variant) group by all",
+    "playlist_chunks": f"with {_CHART}, {_DIMS}, last as (select {_S}, arg_max(period, {_PLACE.format('period')}) as period from chart group by all), x as (select c.service, c.job_name, c.source_variant, c.song_id, row_number() over (partition by c.service, c.job_name, c.source_variant order by rank_order nulls last, c.song_id) as item_order from chart c join last l on l.service = c.service and l.job_name = c.job_name and l.source_variant = c.source_variant and l.period = c.period join bind b on b.service = c.service and b.song_id = c.song_id) select *, (item_order - 1) // 50 as chunk_no from x",
     "history_compact": f"{_REPORT} select chart_date, video_id, hype_rank, hype_index from report where hype_rank <= 200",
     "history_first_nonempty": f"{_ALL} select video_id, arg_min(yt_title, (-epoch(chart_date::date), coalesce(rank_order, 9999), song_id)) as name from rows where yt_title <> '' group by all",
     "history_prune": f"with {_CHART} select period as chart_date, service, count(*) as n from chart where try_cast(period as date) between date '2026-01-01' and date '2026-01-31' group by all",
