@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chartlake.functions.periods import filled
+from chartlake.functions.periods import filled, let
 
 # Names of the video service.
 VIDEO_SERVICES = ("ytmusic", "youtube", "youtube_music")
@@ -20,11 +20,14 @@ TRACK_URLS = {
 def service(c: Column) -> Column:
     """Canonical service: by prefix or alias, else as it is in lower case;
     ``unknown`` where it is missing."""
-    s = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    out = F.when(s.isin(*VIDEO_SERVICES), "ytmusic")
-    for name in TRACK_URLS:
-        out = out.when(s.startswith(name), name)
-    return out.when(s == "", "unknown").otherwise(s)
+
+    def name(s: Column) -> Column:
+        out = F.when(s.isin(*VIDEO_SERVICES), "ytmusic").when(s == "", "unknown")
+        for n in TRACK_URLS:
+            out = out.when(s.startswith(n), n)
+        return out.otherwise(s)
+
+    return let(F.lower(F.trim(F.coalesce(c, F.lit("")))), name)
 
 
 def source_variant(c: Column) -> Column:

@@ -5,6 +5,8 @@ Everything is a Column expression; no row leaves the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,13 @@ def filled(c: Column) -> Column:
     return F.nullif(trimmed(c), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names
+    it. Column expressions repeat what they name, and generated methods that
+    grow too large are not compiled."""
+    return F.transform(F.array(value), body)[0]
+
+
 def monday_of_iso_week(year: Column, week: Column) -> Column:
     """Monday of ISO week ``week`` of ISO year ``year`` (both int)."""
     jan4 = F.make_date(year, F.lit(1), F.lit(4))
@@ -61,16 +70,13 @@ def period_label(code: Column) -> Column:
 
 def canonical_period(c: Column) -> Column:
     """``YYYY-MM-DD`` or ``YYYY-Www`` from any notation; null if it is neither."""
-    t = compact_period(c)
-    day = F.when(
-        t.rlike("^[0-9]{8}$"),
-        F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2)),
-    )
-    week = F.when(
-        t.rlike("^[0-9]{4}W[0-9]{2}$"),
-        F.concat(F.substring(t, 1, 4), F.lit("-"), F.substring(t, 5, 3)),
-    )
-    return F.coalesce(F.when(day.try_cast("date").isNotNull(), day), week)
+
+    def form(t: Column) -> Column:
+        day = F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))
+        week = F.concat(F.substring(t, 1, 4), F.lit("-"), F.substring(t, 5, 3))
+        return F.when((F.length(t) == 8) & t.rlike("^[0-9]{8}$"), let(day, lambda x: F.when(x.try_cast("date").isNotNull(), x))).when(t.rlike("^[0-9]{4}W[0-9]{2}$"), week)
+
+    return let(compact_period(c), form)
 
 
 def period_place(period: Column) -> Column:

@@ -62,8 +62,7 @@ def resolve_chains(moves: DataFrame, old: str, new: str, most_rounds: int = 60)
         nxt = m.select(F.col("a").alias("b"), F.col("b").alias("c"))
         jumped = m.join(nxt, "b", "left").select("a", F.coalesce("c", "b").alias("to"), (F.col("c").isNotNull() & (F.col("c") != F.col("b"))).alias("far"))
         jumped = materialize(jumped, "moves")
-        far = jumped.where("far and a <> to").limit(1).count()
-        cyclic = jumped.where("a = to").limit(1).count()
+        far, cyclic = jumped.agg(F.count_if(F.col("far") & (F.col("a") != F.col("to"))), F.count_if(F.col("a") == F.col("to"))).first()
         if cyclic:
             break
         m = jumped.select("a", F.col("to").alias("b"))

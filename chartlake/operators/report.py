@@ -53,7 +53,8 @@ def grouped_rows(rows: DataFrame) -> DataFrame:
     rank = F.coalesce("rank_order", F.lit(NO_RANK))
     turn = F.struct("service", "job_name", "source_variant", rank.alias("rank"), "song_id")
     best = F.struct(rank.alias("rank"), _priority().alias("prio"), turn.alias("turn"))
-    seen = materialize(rows.groupBy("chart_date", "video_id", "identity").agg(F.min(turn).alias("turn"), F.min(best).alias("best")), "seen")
+    rows = materialize(rows, "rows")  # used by the groups and by the result
+    seen = rows.groupBy("chart_date", "video_id", "identity").agg(F.min(turn).alias("turn"), F.min(best).alias("best"))
     videos = seen.groupBy("chart_date", "video_id").agg(F.min_by("identity", "turn").alias("identity"), F.min("best").alias("best"))
     leads = seen.groupBy("chart_date", "identity").agg(F.min_by("video_id", "turn").alias("__lead"))
     videos = materialize(videos.join(leads, ["chart_date", "identity"]), "videos")

@@ -24,26 +24,33 @@ GROUPS = ("apple", "melon", "ytmusic")
 # --- shared relations ------------------------------------------------------
 
 
-def observations(spark: SparkSession, d: str) -> DataFrame:
-    """Rows with a song, their series and period in one notation."""
-    return table(spark, d, "playlist_order").select(
-        K.service(P.trimmed(F.col("service"))).alias("service"), "job_name", "source_variant",
-        P.canonical_period(F.col("reference_period")).alias("period"), P.trimmed(F.col("song_id")).alias("song_id"), "rank_order", "delivered_at",
-    ).where("song_id <> '' and period is not null")
+def _heads(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries as they are spelled, with their series and period in one
+    form: names are normalised per delivery, not per row."""
+    raw = [F.col(c).alias(f"raw_{c}") for c in ("service", "job_name", "source_variant", "reference_period", "delivered_at")]
+    heads = table(spark, d, "playlist_order").where(P.trimmed(F.col("song_id")) != "").groupBy(*raw).agg(F.count("*").alias("n"))
+    # The test of the count keeps Spark from folding this into later aggregates.
+    return heads.where("n > 0").select(
+        "*", K.service(P.trimmed(F.col("raw_service"))).alias("service"), F.col("raw_job_name").alias("job_name"), F.col("raw_source_variant").alias("source_variant"),
+        P.canonical_period(F.col("raw_reference_period")).alias("period"), F.col("raw_delivered_at").alias("delivered_at"),
+    )
 
 
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Series, periods and the delivery that is the snapshot of each."""
-    return observations(spark, d).groupBy(*SERIES, "period").agg(F.max("delivered_at").alias("delivered_at"))
+    return _heads(spark, d).groupBy(*SERIES, "period").agg(F.max("delivered_at").alias("delivered_at")).where("period is not null")
 
 
 def chart(spark: SparkSession, d: str) -> DataFrame:
     """One rank per series, period and song: the latest delivery of a period is
     its snapshot as a whole. Of a song's ranks in it the least counts."""
-    last = snapshots(spark, d).select(*[F.col(c).alias(f"__{c}") for c in (*SERIES, "period", "delivered_at")])
-    po = observations(spark, d)
-    same = reduce(lambda a, b: a & b, [po[c].eqNullSafe(last[f"__{c}"]) for c in (*SERIES, "period", "delivered_at")])
-    return po.join(last, same, "left_semi").groupBy(*SERIES, "period", "song_id").agg(F.min("rank_order").alias("rank_order"))
+    # A period's deliveries are few; only they meet in a window, never their rows.
+    heads = _heads(spark, d).where("period is not null").withColumn("last", F.max("delivered_at").over(W.partitionBy(*SERIES, "period")))
+    heads = heads.where(F.col("delivered_at").eqNullSafe(F.col("last"))).select(*[c for c in heads.columns if c.startswith("raw_")], *[F.col(c).alias(f"__{c}") for c in (*SERIES, "period")])
+    po = table(spark, d, "playlist_order").select("service", "job_name", "source_variant", "reference_period", "delivered_at", P.trimmed(F.col("song_id")).alias("song_id"), "rank_order")
+    same = reduce(lambda a, b: a & b, [po[c].eqNullSafe(heads[f"raw_{c}"]) for c in ("service", "job_name", "source_variant", "reference_period", "delivered_at")])
+    rows = po.where("song_id <> ''").join(heads, same)
+    return rows.groupBy(*[F.col(f"__{c}").alias(c) for c in (*SERIES, "period")], "song_id").agg(F.min("rank_order").alias("rank_order"))
 
 
 def dates(spark: SparkSession, d: str) -> DataFrame:
