@@ -11,7 +11,8 @@ from chartlake.functions import scoring as S
 from chartlake.functions import similarity as M
 from chartlake.functions import text as X
 from chartlake.operators import candidates, ranking, resolve
-from chartlake.plans.charts import _CHART, chart
+from chartlake.plans import sqltext as Q
+from chartlake.plans.charts import _CHART, _DIMS, chart, dims
 from chartlake.runtime import table
 from chartlake.sources import charts as C
 
@@ -20,14 +21,19 @@ ENDINGS = ("", " (Live)", " [feat. Some One]", " - Single", " (Japanese Ver.)",
 
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles, artists and albums under test: part names with endings, and all
+    search results, whose titles hold versions, guests and ratings in several
+    scripts."""
     k = F.col("p_partkey") % len(ENDINGS)
     tail = F.coalesce(*[F.when(k == i, e) for i, e in enumerate(ENDINGS)])
-    return table(spark, d, "part").select("p_partkey", F.concat("p_name", tail).alias("title"), F.col("p_name").alias("name"), "p_brand")
+    parts = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("k"), F.concat("p_name", tail).alias("title"), F.col("p_brand").alias("artist"), F.lit("X - EP").alias("album"))
+    hits = table(spark, d, "match_results").select(F.concat(F.lit("m"), F.col("result_id")).alias("k"), "title", "artist", "album")
+    return parts.unionByName(hits)
 
 
 def normalize_text_key(spark, d):
-    t = _titles(spark, d)
-    return t.select("p_partkey", X.metadata_key(F.col("title"), F.col("p_brand"), F.lit("X - EP"), X.norm_plain).alias("key"))
+    c = [F.col(x) for x in ("title", "artist", "album")]
+    return _titles(spark, d).select("k", X.metadata_key(*c).alias("key"), X.compact_key(c[0], c[1], X.norm_match).alias("compact"))
 
 
 def normalized_documents(spark, d):
@@ -37,27 +43,29 @@ def normalized_documents(spark, d):
 
 
 def strip_parens(spark, d):
-    return _titles(spark, d).select("p_partkey", X.strip_groups(F.col("title")).alias("bare"), X.clean_title(F.col("title"), X.plain).alias("clean"))
+    t = F.col("title")
+    return _titles(spark, d).select("k", X.strip_groups(t).alias("bare"), X.strip_rating(t).alias("unrated"), X.clean_title(t).alias("clean"))
 
 
 def feature_sig(spark, d):
-    return _titles(spark, d).select("p_partkey", X.feature_signature(F.col("title"), X.norm_plain).alias("guests"))
+    return _titles(spark, d).select("k", X.feature_signature(F.col("title")).alias("guests"))
 
 
 def version_sig(spark, d):
-    return _titles(spark, d).select("p_partkey", X.version_signature(F.col("title"), X.plain).alias("version"))
+    return _titles(spark, d).select("k", X.version_signature(F.col("title")).alias("version"))
 
 
 def identity_keys(spark, d):
-    t = _titles(spark, d)
-    return t.select("p_partkey", X.identity_key(F.col("title"), F.col("p_brand"), F.lit("v"), X.norm_plain, X.plain).alias("key"))
+    return _titles(spark, d).select("k", X.identity_key(F.col("title"), F.col("artist"), F.lit("v")).alias("key"))
 
 
 def identity_groups(spark, d):
-    """Rows of one brand or name, joined through common rows: group sizes."""
-    t = _titles(spark, d)
-    g = resolve.identity_groups(t, "p_partkey", F.substring("name", 1, 6), F.col("p_brand"))
-    return g.groupBy("group_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("groups"))
+    """Entities that share a video or the identity of their names, joined
+    through common members: the least entity of each group."""
+    t = table(spark, d, "tracks")
+    t = t.select("track_uid", K.linked_video(F.col("canonical_yt_video_id")).alias("v"), X.identity_key(F.col("yt_title"), F.col("yt_artist"), F.lit("")).alias("i"))
+    g = resolve.identity_groups(t, "track_uid", F.col("v"), F.when(F.col("i").startswith("meta|"), F.col("i")))
+    return g.groupBy(F.coalesce("group_id", "track_uid").alias("g")).agg(F.min("track_uid").alias("least"), F.count("*").alias("n")).select("least", "n")
 
 
 def stable_uid(spark, d):
@@ -65,8 +73,16 @@ def stable_uid(spark, d):
 
 
 def split_variants(spark, d):
-    t = _titles(spark, d).withColumn("credit", F.concat_ws(" & ", "p_brand", "name"))
-    return t.select("p_partkey", F.array_join(X.split_artists(F.col("credit")), "|").alias("artists"), F.array_join(X.distinct_names(X.paren_variants(F.col("title"))), "|").alias("variants"))
+    """Names of credits, and variants of titles, each once by its normal form."""
+    t = _titles(spark, d).withColumn("credit", F.concat_ws(" & ", "artist", "album"))
+    return t.select("k", F.array_join(X.split_artists(F.col("credit")), "|").alias("artists"), F.array_join(X.paren_variants(F.col("title")), "|").alias("variants"))
+
+
+def names_once(spark, d):
+    """Names of both languages of a song, of those normalised alike the first."""
+    n = dims(spark, d)[2]
+    names = F.array_compact(F.array("title_ko", "title_en", F.upper("title_en"), F.concat(F.lit(" "), F.col("title_ko"))))
+    return n.select("service", "song_id", F.array_join(X.distinct_names(names), "|").alias("names"))
 
 
 def distinct_by_name(spark, d):
@@ -76,8 +92,9 @@ def distinct_by_name(spark, d):
 
 
 def token_overlap(spark, d):
+    """Shared words of each title and its form without brackets."""
     t = _titles(spark, d)
-    return t.select("p_partkey", F.round(M.token_overlap(F.lower("name"), F.lower("title")), 6).alias("overlap"))
+    return t.select("k", F.round(M.token_overlap(F.lower("title"), F.lower(X.strip_groups(F.col("title")))), 6).alias("overlap"))
 
 
 def multiset_overlap(spark, d):
@@ -87,8 +104,11 @@ def multiset_overlap(spark, d):
 
 
 def similarity_seq(spark, d):
-    t = _titles(spark, d)
-    return t.select("p_partkey", F.round(M.similarity(F.col("name"), F.col("title"), True), 6).alias("similarity"))
+    """Similarity of each title to its form without ratings and variants, and
+    of search results to what was found."""
+    t = _titles(spark, d).select("k", X.clean_title(F.col("title")).alias("a"), F.col("title").alias("b"))
+    m = table(spark, d, "match_results").select(F.concat(F.lit("y"), F.col("result_id")).alias("k"), F.col("title").alias("a"), F.col("yt_title").alias("b"))
+    return t.unionByName(m).select("k", F.round(M.similarity(F.col("a"), F.col("b"), True), 6).alias("similarity"))
 
 
 def candidate_scores(spark, d):
@@ -229,28 +249,48 @@ def crawl_dates(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_text_key, normalized_documents, strip_parens, feature_sig, version_sig, identity_keys, identity_groups, stable_uid, split_variants, distinct_by_name,
+        normalize_text_key, normalized_documents, strip_parens, feature_sig, version_sig, identity_keys, identity_groups, stable_uid, split_variants, names_once, distinct_by_name,
         token_overlap, multiset_overlap, similarity_seq, candidate_scores, best_hit, match_gates, match_methods, result_types, url_parts, song_urls,
         duration_seconds, json_props, json_walk, html_table, html_links, csv_charts, fallback_strategies, balanced_json, multi_source_dedupe, last_turn,
         release_scores, crawl_dates,
     )
 }
 
-_T = "t as (select p_partkey, p_name as name, p_brand, p_name || case p_partkey % 6 " + " ".join(f"when {i} then '{e}'" for i, e in enumerate(ENDINGS)) + " end as title from part)"
-_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\\[[^\\]]*(feat\\.?|ft\\.?)[^\\]]*\\]', ' ', 'g'), '\\s*-\\s*(ep|single)\\b.*$', ' ', 'g'), '[^0-9a-z]+', ' ', 'g'), '\\s+', ' ', 'g'))"
-_CLEAN = "case p_partkey % 6 when 1 then name else title end"
-_GUESTS = "case p_partkey % 6 when 2 then 'some one' else '' end"
-_VERSION = "case p_partkey % 6 when 1 then 'live' when 4 then 'version:japanese' when 5 then 'remix:night' else '' end"
+_T = "t as (select 'p' || p_partkey as k, p_name || case p_partkey % 6 " + " ".join(f"when {i} then '{e}'" for i, e in enumerate(ENDINGS)) + " end as title, p_brand as artist, 'X - EP' as album from part union all select 'm' || result_id, title, artist, album from match_results)"
 _PAGE = f"""with {_CHART}, page as (
-  select 'https://pages.example/' || job_name || '/' || source_variant || '/' || period as url, rank_order, song_id, period
-  from chart where rank_order between 1 and 20 and service = 'melon')"""
+  select 'https://pages.example/' || job_name || '/' || source_variant || '/' || period as url, rank_order, song_id, period, job_name, source_variant from chart)"""
+_PLACE_IN_PAGE = "row_number() over (partition by job_name, source_variant, period order by rank_order nulls last, song_id)"
+_WORDS = "list_filter(regexp_split_to_array(coalesce({0}, ''), '\\s+'), lambda z: z <> '')"
+_PAIRED = "^(.*?)\\s*[\\(\\[/（]\\s*(.*?)\\s*[\\)\\]/）]\\s*$"
 
 ORACLE = {
-    "normalize_text_key": f"with {_T} select p_partkey, {_NORM.format('title')} || '|' || {_NORM.format('p_brand')} || '|x' as key from t",
-    "strip_parens": f"with {_T} select p_partkey, case when p_partkey % 6 in (1, 2, 4, 5) then name else title end as bare, {_CLEAN} as clean from t",
-    "feature_sig": f"with {_T} select p_partkey, {_GUESTS} as guests from t",
-    "version_sig": f"with {_T} select p_partkey, {_VERSION} as version from t",
-    "identity_keys": f"with {_T} select p_partkey, 'meta|' || {_NORM.format(_CLEAN)} || '|' || {_NORM.format('p_brand')} || '|' || {_GUESTS} || '|' || {_VERSION} as key from t",
+    "normalize_text_key": f"with {_T} select k, {Q.norm_sql('title')} || '|' || {Q.norm_sql('artist')} || '|' || {Q.norm_sql('album')} as key, {Q.norm_match_sql('title')} || '|' || {Q.norm_match_sql('artist')} as compact from t",
+    "strip_parens": f"with {_T} select k, {Q.bare_sql('title')} as bare, {Q.unrated_sql('title')} as unrated, {Q.clean_sql('title')} as clean from t",
+    "feature_sig": f"with {_T} select k, {Q.guests_sql('title')} as guests from t",
+    "version_sig": f"with {_T} select k, {Q.version_sql('title')} as version from t",
+    "identity_keys": f"with {_T} select k, {Q.identity_sql('title', 'artist', chr(39) + 'v' + chr(39))} as key from t",
+    "identity_groups": f"""with recursive t as (
+  select track_uid, 'v:' || {Q.video_sql('canonical_yt_video_id')} as v, {Q.identity_sql('yt_title', 'yt_artist', chr(39) * 2)} as i from tracks),
+k as (select track_uid, v, case when i like 'meta|%' then i end as i from t),
+near as (select a.track_uid as p, b.track_uid as q from k a join k b on a.v = b.v union select a.track_uid, b.track_uid from k a join k b on a.i = b.i),
+reach as (select track_uid as p, track_uid as q from k union select reach.p, near.q from reach join near on reach.q = near.p),
+least as (select p, min(q) as least from reach group by 1)
+select least, count(*) as n from least group by 1""",
+    "split_variants": f"""with {_T} select k,
+  array_to_string(list_filter(list_transform(regexp_split_to_array(concat_ws(' & ', artist, album), '\\s*(?:,|&| and | x | X | with |\\+)\\s*|\\s+(?:및|와|과)\\s+'), lambda z: trim(z)), lambda z: z <> ''), '|') as artists,
+  array_to_string([title] || case when regexp_matches(title, '{_PAIRED}') and (trim(regexp_extract(title, '{_PAIRED}', 1)) <> '' or trim(regexp_extract(title, '{_PAIRED}', 2)) <> '')
+    then list_filter([trim(regexp_extract(title, '{_PAIRED}', 1)), trim(regexp_extract(title, '{_PAIRED}', 2))], lambda z: z <> '')
+    when contains(title, ' / ') then list_filter(list_transform(string_split(title, ' / '), lambda z: trim(z)), lambda z: z <> '')
+    when contains(title, ' | ') then list_filter(list_transform(string_split(title, ' | '), lambda z: trim(z)), lambda z: z <> '')
+    when contains(title, ' - ') then list_filter(list_transform(string_split(title, ' - '), lambda z: trim(z)), lambda z: z <> '') else [] end, '|') as variants from t""",
+    "names_once": f"""with {_DIMS}, x as (select service, song_id, list_filter([title_ko, title_en, upper(title_en), ' ' || title_ko], lambda z: z is not null) as l from meta),
+y as (select service, song_id, unnest(range(len(l))) as n, trim(unnest(l)) as name from x),
+z as (select service, song_id, {Q.norm_sql('name')} as key, min(n) as n, arg_min(name, n) as name from y where name <> '' group by all),
+w as (select service, song_id, string_agg(name, '|' order by n) as names from z group by all)
+select m.service, m.song_id, coalesce(names, '') as names from meta m left join w using (service, song_id)""",
+    "token_overlap": f"""with {_T}, w as (select k, {_WORDS.format('lower(title)')} as a, {_WORDS.format('lower(' + Q.bare_sql('title') + ')')} as b from t),
+x as (select k, len(a) as na, len(b) as nb, list_sum(list_transform(list_distinct(a), lambda u: least(len(list_filter(a, lambda v: v = u)), len(list_filter(b, lambda v: v = u))))) as shared from w)
+select k, round(coalesce(0.8e0 * shared / nullif(na, 0) + 0.2e0 * shared / nullif(nb, 0), 0), 6) as overlap from x""",
     "stable_uid": "select p_partkey, 'trk_' || substr(sha1('part:' || p_partkey), 1, 16) as uid from part",
     "distinct_by_name": "select lower(trim(yt_title)) as key, min(track_uid) as track_uid from tracks where trim(yt_title) <> '' group by 1",
     "multiset_overlap": "with t as (select doc_id, string_split(text, ' ') as w, string_split(lower(text), ' ') as v from documents where text <> ''), a as (select doc_id, unnest(w) as x from t), b as (select doc_id, unnest(v) as x from t), ca as (select doc_id, x, count(*) as n from a group by all), cb as (select doc_id, x, count(*) as n from b group by all) select doc_id, sum(least(coalesce(ca.n, 0), coalesce(cb.n, 0))) as shared, sum(coalesce(ca.n, 0)) as left_n, sum(coalesce(cb.n, 0)) as right_n from ca full join cb using (doc_id, x) group by 1",
@@ -258,16 +298,16 @@ ORACLE = {
     "match_gates": "select result_id, coalesce(score >= 0.6 and title_score >= 0.65 and (coalesce(artist, '') = '' or artist_score >= 0.55), false) as passes from match_results",
     "match_methods": "select result_id, case trim(coalesce(status, '')) when 'manual_override' then 'manual' when 'proxy_matched' then 'proxy' when 'cached_match' then 'cache' when 'failed' then 'failed' when 'duplicate_skipped' then 'failed' when 'manual_blocked' then 'failed' else 'search' end as method, case trim(coalesce(status, '')) when 'manual_override' then 'manual' when 'proxy_matched' then 'proxy' when 'cached_match' then 'unknown' when 'failed' then 'none' when 'duplicate_skipped' then 'none' when 'manual_blocked' then 'none' else 'search' end as origin, coalesce(status = 'cached_match', false) as cached from match_results",
     "result_types": "select lower(trim(coalesce(yt_result_type, ''))) as kind, count(*) as n from match_results group by 1",
-    "url_parts": "select track_uid, regexp_extract(canonical_yt_video_id, '[?&]v=([^&#]+)', 1) as video from tracks where canonical_yt_video_id like '%://%v=%'",
+    "url_parts": f"select track_uid, {Q.video_sql('canonical_yt_video_id')} as video from tracks where contains(canonical_yt_video_id, '://')",
     "song_urls": "select row_id, case when coalesce(trim(song_id), '') = '' then '' when lower(trim(service)) = 'melon' then 'https://www.melon.com/song/detail.htm?songId=' || trim(song_id) when lower(trim(service)) = 'spotify' then 'https://open.spotify.com/track/' || trim(song_id) when lower(trim(service)) = 'apple' and trim(album_id) <> '' then 'https://music.apple.com/album/' || trim(album_id) || '?i=' || trim(song_id) else '' end as url from source_tracks",
     "duration_seconds": "select event_id, user_id % 60 * 60 + event_id % 60 as seconds from events",
     "json_props": "select event_type, count(k) as n, sum(k) as total, max(k) as most from (select event_type, try_cast(json_extract_string(props, '$.k') as int) as k from events) group by 1",
-    "json_walk": "select event_id, 2 as pos, cast(json_extract_string(props, '$.k') as int) as k from events where event_id % 2 = 0",
+    "json_walk": "select event_id, 2 as pos, cast(json_extract_string(props, '$.k') as int) as k from events",
     "html_table": f"{_PAGE} select url, rank_order, song_id from page",
     "html_links": f"{_PAGE} select url, song_id as item_id, 'Song &amp; ' || song_id as title from page",
-    "csv_charts": f"with {_CHART} select job_name || '/' || source_variant || '/' || period as url, rank_order as rank, song_id as item_id, 'a, ' || song_id as title from chart where rank_order between 1 and 30 and service = 'ytmusic' and rank_order <> 3",
+    "csv_charts": f"with {_CHART}, kept as (select * from chart where rank_order is distinct from 3) select job_name || '/' || source_variant || '/' || period as url, coalesce(rank_order, {_PLACE_IN_PAGE}) as rank, song_id as item_id, 'a, ' || song_id as title from kept",
     "fallback_strategies": f"{_PAGE} select url, case when period like '%-W%' then 1 else 2 end as strategy_no, count(*) as n from page group by all",
-    "balanced_json": "select event_id, cast(json_extract_string(props, '$.k') as int) as k from events where event_id % 3 = 0",
+    "balanced_json": "select event_id, cast(json_extract_string(props, '$.k') as int) as k from events",
     "multi_source_dedupe": "with t as (select row_id, nullif(trim(song_id), '') as s, list_position(['apple', 'melon', 'spotify', 'ytmusic'], lower(trim(service))) - 1 as source_no from source_tracks) select row_id, source_no from t where source_no >= 0 and s is not null qualify row_number() over (partition by s order by source_no, row_id) = 1 union all select row_id, source_no from t where source_no >= 0 and s is null",
     "last_turn": "select source, track_uid, arg_max(doc_id, (posted_at, doc_id)) as doc_id, count(*) as n from documents where track_uid is not null and source is not null group by all",
     "release_scores": "with x as (select artist, result_id, album, round(0.25e0 + case when album like '% - EP' then 0.2e0 when album like '% - Single' then 0.3e0 else 0.35e0 end + 0.05e0 + case when lower(album) = lower(title) then 0.1e0 else 0e0 end - case when lower(album) like '%deluxe%' or lower(album) like '%version%' then 0.05e0 else 0e0 end, 6) as s from match_results where album <> '' and title <> '' and artist <> '') select artist, arg_min(album, (-s, result_id)) as release, max(s) as release_score from x where s > 0 group by 1",
