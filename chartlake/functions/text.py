@@ -13,8 +13,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The letters that normalised text keeps.
-KEPT = r"0-9a-z가-힣ᄀ-ᇿ㄰-㆏ꥠ-꥿ힰ-퟿぀-ヿ一-鿿"
+# The letters that normalised text keeps, by code points: digits, Latin letters, Hangul
+# syllables and the four blocks of Hangul letters, kana, and Han characters.
+KEPT_RANGES = ((0x30, 0x39), (0x61, 0x7A), (0xAC00, 0xD7A3), (0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xD7B0, 0xD7FF), (0x3040, 0x30FF), (0x4E00, 0x9FFF))
+KEPT = "".join(f"{chr(a)}-{chr(b)}" for a, b in KEPT_RANGES)
 # Labels that name no other recording.
 RATING = r"(?:explicit|clean|edited|censored|uncensored)"
 LABEL = RATING + r"(?:\s+(?:ver\.?|version|edition))?"
@@ -61,9 +63,14 @@ def norm_db(c: Column) -> Column:
     return _kept(F.lower(nfkc(c)))
 
 
+def match_form(c: Column) -> Column:
+    """``norm_match`` of text that is in NFKC already: JVM only."""
+    return _kept(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s*-\s*(?:topic|주제)\b.*$", " "))
+
+
 def norm_match(c: Column) -> Column:
     """As ``norm_db``, also without channel endings."""
-    return _kept(F.regexp_replace(F.lower(nfkc(c)), r"\s*-\s*(?:topic|주제)\b.*$", " "))
+    return match_form(nfkc(c))
 
 
 def metadata_key(title: Column, artist: Column, album: Column, norm=norm_db) -> Column:
@@ -104,6 +111,7 @@ def clean_title(c: Column, form=nfkc) -> Column:
     return or_original(F.trim(F.regexp_replace(strip_rating(c, form), VARIANT, "")), c)
 
 
+# Fixed values from here to the end of ``version_signature``: patterns of guests and versions.
 def feature_signature(c: Column, norm=norm_db) -> Column:
     """Normalised guests that a title names, else empty."""
     text = F.coalesce(c, F.lit(""))

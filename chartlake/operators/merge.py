@@ -13,6 +13,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartlake.schemas import TABLES as TABLE_DDL
+from chartlake.schemas import columns
+
 #: Place in the order of arrival.
 ORD = "__ord"
 
@@ -75,28 +78,37 @@ def with_best(score: str):
     return rule
 
 
+def _rules(table: str, keys: tuple[str, ...], **special: object) -> tuple[tuple[str, ...], dict]:
+    """Key and rules of a declared table: the last value of every column that
+    ``special`` has no rule for."""
+    return keys, {c: special.get(c, last) for c in columns(TABLE_DDL[table]) if c not in keys}
+
+
+_TEXTS = tuple(f"{f}_{lang}" for f in ("title", "artist", "album") for lang in ("ko", "en"))
 # The merge rules of the store, by table: key and rule of each column.
 TABLES: dict[str, tuple[tuple[str, ...], dict]] = {
-    "tracks": (("track_uid",), {
-        "canonical_yt_video_id": first_nonnull, "yt_title": last_nonempty, "yt_artist": last_nonempty, "yt_album": last_nonempty,
-        "match_status": last_unless("failed"), "best_score": greatest_or_zero, "created_at": first, "updated_at": last,
-    }),
-    "yt_video_ids": (("video_id",), {"track_uid": first, "is_canonical": greatest}),
-    "yt_video_ids_rebind": (("video_id",), {"track_uid": last, "is_canonical": greatest}),
-    "platform_song_ids": (("service", "song_id"), {"track_uid": last, "created_at": last}),
-    "track_list": (("service", "song_id"), {
-        c: last_nonempty for c in ("album_id", "title_ko", "artist_ko", "album_ko", "title_en", "artist_en", "album_en", "artwork_url")
-    }),
-    "metadata_lookup_index": (("lookup_key",), {"track_uid": with_best("score"), "source": with_best("score"), "score": greatest}),
-    "playlist_order": (("service", "job_name", "source_variant", "reference_period", "song_id"), {"rank_order": last}),
-    "match_runs": (("run_id",), {"job_name": last, "source_variant": last, "total": last, "source": last, "started_at": first, "created_at": first}),
-    "match_attempts": (("run_id", "service", "song_id", "rank_order"), {
-        "track_uid": last, "video_id": last, "score": last, "status": last, "created_at": last,
-    }),
-    "match_candidates": (("run_id", "service", "song_id", "rank_order", "candidate_order"), {"video_id": last, "score": last, "created_at": last}),
-    "album_metadata": (("service", "album_id"), {"album_name": last, "created_at": last, "last_checked": last}),
-    "review_conflicts": (("conflict_id",), {"reason": first, "status": first, "created_at": first}),
-    "playlist_update_items": (("update_run_id", "action", "video_id", "item_order"), {"created_at": greatest}),
+    "tracks": _rules("tracks", ("track_uid",), canonical_yt_video_id=first_nonnull, yt_title=last_nonempty, yt_artist=last_nonempty, yt_album=last_nonempty, match_status=last_unless("failed"), best_score=greatest_or_zero, created_at=first),
+    "yt_video_ids": _rules("yt_video_ids", ("video_id",), track_uid=first, is_canonical=greatest),
+    # Forms of repairs: another entity takes the video, takes it as its canonical one, or only if nobody has it.
+    "yt_video_ids_rebind": _rules("yt_video_ids", ("video_id",), is_canonical=greatest),
+    "yt_video_ids_canonical": _rules("yt_video_ids", ("video_id",)),
+    "yt_video_ids_keep": _rules("yt_video_ids", ("video_id",), track_uid=first, is_canonical=first),
+    "platform_song_ids": _rules("platform_song_ids", ("service", "song_id")),
+    "track_list": _rules("track_list", ("service", "song_id"), **{c: last_nonempty for c in ("album_id", *_TEXTS, "artwork_url")}),
+    "metadata_lookup_index": _rules("metadata_lookup_index", ("lookup_key",), track_uid=with_best("score"), source=with_best("score"), score=greatest),
+    "playlist_order": _rules("playlist_order", ("service", "job_name", "source_variant", "reference_period", "song_id")),
+    "match_runs": _rules("match_runs", ("run_id",), started_at=first, created_at=first),
+    "match_attempts": _rules("match_attempts", ("run_id", "service", "song_id", "rank_order")),
+    "match_candidates": _rules("match_candidates", ("run_id", "service", "song_id", "rank_order", "candidate_order")),
+    "manual_overrides": _rules("manual_overrides", ("service", "song_id")),
+    "album_metadata": _rules("album_metadata", ("service", "album_id")),
+    "artist_translations": _rules("artist_translations", ("artist_id",)),
+    "song_translations": _rules("song_translations", ("video_id",)),
+    "review_conflicts": _rules("review_conflicts", ("conflict_id",), **{c: first for c in ("service", "song_id", "track_uid", "other", "reason", "status", "created_at")}),
+    "playlist_update_runs": _rules("playlist_update_runs", ("update_run_id",)),
+    "playlist_update_items": _rules("playlist_update_items", ("update_run_id", "action", "video_id", "item_order"), created_at=greatest),
+    "chart_source_audit": _rules("chart_source_audit", ("audit_id",)),
+    "schema_migrations": _rules("schema_migrations", ("version",), applied_at=first),
 }
 
 
@@ -106,7 +118,7 @@ def merge(existing: DataFrame, batch: DataFrame, keys: Sequence[str], rules: Map
     ``rules`` gives the rule of each column; ``order`` names the columns of
     ``batch`` that order its rows (repeat none, or equal rows may change
     places). Null keys are keys. Columns that a side lacks are null, other
-    columns are dropped. Merging a batch twice gives the same as once. Empty
+    columns are dropped (``TABLES`` has a rule for every declared one). Merging a batch twice gives the same as once. Empty
     tables are allowed on both sides. Existing rows with one key fold in the
     order of their columns.
     """

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from chartlake.functions import periods as P
 from chartlake.functions import text as X
-from chartlake.operators import asof, candidates, heal, lookup, merge, resolve
+from chartlake import schemas
+from chartlake.operators import asof, candidates, heal, ingest, lookup, merge, resolve
 from chartlake.operators.components import connected_components, resolve_chains
 from chartlake.plans.charts import chart, dims
 from chartlake.plans.charts import _CHART, _DIMS
 from chartlake.plans.problems import _PERIOD, _TRIM
+from chartlake.plans.sqltext import bare_sql, norm_sql
 from chartlake.runtime import table
+from chartlake.schemas import TABLES
 from chartlake.sources import store
 
 SPLIT = "1996-01-01"
@@ -130,18 +133,123 @@ def failed_bindings(spark, d):
     return resolve.failed_bindings(bind, tracks).select("service", "song_id", "track_uid")
 
 
+def _turn(n):
+    return F.pmod(F.ascii(F.reverse("song_id")), F.lit(n))
+
+
 def resolved_songs(spark, d):
-    """The entity of every charted song, and what decided it."""
+    """The entity of every charted song, and what decided it. Videos and
+    overrides are derived from the ids so that every rule decides some songs."""
     bind, tracks, names, _ = dims(spark, d)
-    songs = chart(spark, d).select("service", "song_id").distinct().join(names.select("service", "song_id", "title_en", "artist_en"), ["service", "song_id"], "left")
-    songs = songs.select("service", "song_id", F.lit(None).cast("string").alias("video_id"), F.array(F.lower(F.concat_ws("|", "title_en", "artist_en"))).alias("keys"))
-    index = tracks.where("yt_title <> '' and yt_artist <> ''").groupBy(F.lower(F.concat_ws("|", F.trim("yt_title"), F.trim("yt_artist"))).alias("lookup_key")).agg(F.min("track_uid").alias("track_uid"))
+    tracks = tracks.select("track_uid", "match_status", F.coalesce(F.trim("canonical_yt_video_id"), F.lit("")).alias("canonical_yt_video_id"), "yt_title", "yt_artist")
     videos = tracks.where("canonical_yt_video_id <> ''").groupBy(F.col("canonical_yt_video_id").alias("video_id")).agg(F.min("track_uid").alias("track_uid"))
-    overrides = spark.createDataFrame([], "service string, song_id string, action string, target_track_uid string, canonical_yt_video_id string")
-    out = resolve.resolve_uids(songs, bind, videos, index, overrides, tracks.select("track_uid", "match_status"))
+    by_artist = tracks.where("canonical_yt_video_id <> ''").groupBy(F.lower(F.trim("yt_artist")).alias("a")).agg(F.min("canonical_yt_video_id").alias("v"))
+    own = bind.join(tracks.select("track_uid", F.col("canonical_yt_video_id").alias("own"), F.lower(F.trim("yt_artist")).alias("a")), "track_uid", "left").join(by_artist, "a", "left").select("service", "song_id", "own", "v")
+    songs = chart(spark, d).select("service", "song_id").distinct().join(names.select("service", "song_id", "title_en", "artist_en"), ["service", "song_id"], "left").join(own, ["service", "song_id"], "left")
+    video = F.when(_turn(4) == 0, F.col("own")).when(_turn(4) == 1, F.concat(F.lit("N"), "song_id")).when(_turn(4) == 2, F.col("v"))
+    songs = songs.select("service", "song_id", F.nullif(video, F.lit("")).alias("video_id"), F.array(F.lower(F.concat_ws("|", "title_en", "artist_en"))).alias("keys"), "v")
+    index = tracks.where("yt_title <> '' and yt_artist <> ''").groupBy(F.lower(F.concat_ws("|", F.trim("yt_title"), F.trim("yt_artist"))).alias("lookup_key")).agg(F.min("track_uid").alias("track_uid"))
+    kind = _turn(11)
+    over = songs.where(kind < 4).select(
+        "service", "song_id", F.when(kind == 0, "block").otherwise("set_canonical").alias("action"), F.when(kind == 1, "trk_chosen").alias("target_track_uid"),
+        F.when(kind == 2, F.concat(F.lit("O"), "song_id")).when(kind == 3, F.col("v")).alias("canonical_yt_video_id"),
+    )
+    out = resolve.resolve_uids(songs.drop("v"), bind, videos, index, over, tracks)
     return out.select("service", "song_id", "track_uid", "uid_source")
 
 
+def verified_merges(spark, d):
+    """Entities that songs' keys without bracketed parts lead to, and whether
+    their names are close enough to merge."""
+    bind, _, names, _ = dims(spark, d)
+    s = lookup.first_hit(_songs(spark, d), "keys", _index(spark, d), "lookup_key", "track_uid", "track_uid").where("track_uid is not null")
+    good = resolve.verified_hits(s.select("title", "track_uid"), resolve.entity_names(bind, names)).withColumn("ok", F.lit(True))
+    return s.select("service", "song_id", "title", "track_uid").join(good, ["title", "track_uid"], "left").select("service", "song_id", "track_uid", F.coalesce("ok", F.lit(False)).alias("verified"))
+
+
+def _store(spark, d):
+    """The tables of the store, one row per key."""
+    bind, tracks, names, _ = dims(spark, d)
+    empty = lambda n: spark.createDataFrame([], TABLES[n])
+    return {
+        "tracks": tracks, "track_list": names, "platform_song_ids": bind.withColumn("created_at", F.lit("2026-01-01").cast("timestamp")),
+        "playlist_order": table(spark, d, "playlist_order"), "metadata_lookup_index": _index(spark, d).withColumn("source", F.lit("rebuild")),
+        "manual_overrides": empty("manual_overrides"), "review_conflicts": empty("review_conflicts"),
+    }
+
+
+NOW = "2026-02-01 00:00:00"
+
+
+def _ingested(spark, d):
+    crawl = table(spark, d, "source_tracks").withColumns({"title": F.trim("title"), "artist": F.trim("artist")})
+    return ingest.ingest(crawl, "Crawl", "2026-02-01", _store(spark, d), F.lit(NOW).cast("timestamp"))
+
+
+def ingested_bindings(spark, d):
+    """Entities of songs after a crawl was ingested."""
+    return _ingested(spark, d)["platform_song_ids"].select("service", "song_id", "track_uid")
+
+
+def ingested_ranks(spark, d):
+    """The series that the crawl delivered."""
+    return _ingested(spark, d)["playlist_order"].where("job_name = 'Crawl'").select("service", "song_id", "rank_order")
+
+
+def ingested_status(spark, d):
+    """Entities by status after the crawl."""
+    return _ingested(spark, d)["tracks"].groupBy("match_status").agg(F.count("*").alias("n"))
+
+
+def _upserted(spark, d):
+    """The store after the search results of its songs were merged: of a song's
+    results the first one."""
+    m = table(spark, d, "match_results").withColumns({"service": F.lower(F.trim("service")), "song_id": F.trim("song_id")}).where("song_id <> ''")
+    keep = [c for c in m.columns if c not in ("service", "song_id")]
+    m = m.groupBy("service", "song_id").agg(F.min_by(F.struct(*keep), "result_id").alias("x")).select("service", "song_id", "x.*")
+    return ingest.upsert_matches(m, _store(spark, d), F.lit(NOW).cast("timestamp"))
+
+
+def upserted_index(spark, d):
+    """Lookup keys after search results were merged."""
+    return _upserted(spark, d)["metadata_lookup_index"].select("lookup_key", "track_uid", F.round("score", 6).alias("score"))
+
+
+def upserted_conflicts(spark, d):
+    """Contradictions that merging search results found."""
+    return _upserted(spark, d)["review_conflicts"].select("service", "song_id", "track_uid", "other", "reason")
+
+
+def history_source(spark, d):
+    """Chart entries with their entities and names, as the reports read them."""
+    bind, tracks, names, _ = dims(spark, d)
+    facts = chart(spark, d).withColumnRenamed("period", "reference_period")
+    h = schemas.history_source(facts, bind, tracks, names)
+    return h.select("service", "job_name", "source_variant", "chart_date", "song_id", "track_uid", "rank_order", "video_id", "title", "artist", "album", "artwork_url")
+
+
+def repaired_bindings(spark, d):
+    """Failed bindings that the song's names lead out of."""
+    bind, tracks, _, _ = dims(spark, d)
+    return resolve.repaired_bindings(resolve.failed_bindings(bind, tracks), _songs(spark, d), _index(spark, d), tracks)
+
+
+def cached_songs(spark, d):
+    """Matches that the store has for each named song, by binding or by names."""
+    bind, tracks, _, _ = dims(spark, d)
+    none = spark.createDataFrame([], TABLES["manual_overrides"])
+    return candidates.cached_matches(_songs(spark, d), none, bind, tracks, _index(spark, d)).select("service", "song_id", "track_uid", "match_source")
+
+
+def merged_lookup_index(spark, d):
+    """Lookup keys of all entities, folded by their scores."""
+    t = table(spark, d, "tracks")
+    k = X.lookup_keys(F.col("yt_title"), F.col("yt_artist"), F.coalesce("yt_album", F.lit("")), F.coalesce("best_score", F.lit(0.0)))
+    rows = t.select("track_uid", F.lit("crawl").alias("source"), F.inline(k)).withColumnRenamed("key", "lookup_key")
+    keys, rules = merge.TABLES["metadata_lookup_index"]
+    return merge.merge(rows.limit(0), rows, keys, rules, ["score", "track_uid"]).select("lookup_key", "track_uid", F.round("score", 6).alias("score"))
+
+
 def left_join_count_zero(spark, d):
     n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     c = table(spark, d, "customer").select("c_custkey")
@@ -197,7 +305,7 @@ def match_conflicts(spark, d):
 def song_lookup_keys(spark, d):
     """Keys under which each song is found, with their scores."""
     n = dims(spark, d)[2]
-    k = X.lookup_keys(F.col("title_en"), F.col("artist_en"), F.coalesce("album_en", F.lit("")), F.lit(1.0), norm=F.lower)
+    k = X.lookup_keys(F.col("title_en"), F.col("artist_en"), F.coalesce("album_en", F.lit("")), F.lit(1.0))
     return n.where("title_en is not null and artist_en is not null").select("service", "song_id", F.inline(k)).withColumn("score", F.round("score", 4))
 
 
@@ -255,7 +363,8 @@ QUERIES = {
             upsert_bindings, upsert_metadata, replace_partition, retention_filter, rebind_merge, rename_chains, shared_videos, same_metadata, component_sizes,
             anti_unbound, semi_bound, failed_bindings, resolved_songs, left_join_count_zero, left_join_group_max, dup_having, candidate_key_first_hit,
             localized_coalesce_join, latest_attempt_ties, failed_latest, match_conflicts, song_lookup_keys,
-            heal_bindings, bracketed_artists, search_query_lists, source_audits, shuffled_order,
+            verified_merges, ingested_bindings, ingested_ranks, ingested_status, upserted_index, upserted_conflicts, history_source, repaired_bindings, cached_songs,
+            merged_lookup_index, heal_bindings, bracketed_artists, search_query_lists, source_audits, shuffled_order,
         )
     },
 }
@@ -270,6 +379,17 @@ s as (select *, row_number() over (partition by k order by side, t, id) as n fro
 _COUNTED = f"with {_DIMS}, n as (select track_uid, count(*) as bindings from bind group by all), t as (select tracks.*, coalesce(bindings, 0) as b, trim(canonical_yt_video_id) as v, case lower(trim(match_status)) when 'manual_override' then -4 when 'matched' then -3 when 'cached_match' then -2 when 'proxy_matched' then -1 else 0 end as lv from tracks left join n using (track_uid))"
 _PICK = "g as (select {0} as g, track_uid, first_value(track_uid) over (partition by {0} order by -b, lv, -coalesce(best_score, 0), created_at, track_uid) as new_uid from t where {1}) select distinct track_uid as old_uid, new_uid from g where track_uid <> new_uid"
 
+_KEY = "({0} || '|' || {1})"
+_IDX = f"idx as (select {_KEY.format(norm_sql('yt_title'), norm_sql('yt_artist'))} as k, arg_min(track_uid, (-coalesce(best_score, 0), track_uid)) as u from tracks where yt_title <> '' and yt_artist <> '' group by 1)"
+_FULL = "({0} || '|' || {1} || '|' || {2})"
+_KEYS = f"""b as (select *, {bare_sql('t')} as bt, {bare_sql('a')} as ba from n),
+f as (select *, {norm_sql('t')} as nt, {norm_sql('a')} as na, {norm_sql('al')} as nl, {norm_sql('bt')} as nbt, {norm_sql('ba')} as nba from b),
+keys as (
+  select * exclude (ks, ss), ks[i] as key, ss[i] as score from (
+    select *, unnest([1, 2, 3, 4, 5, 6]) as i, [nt || '|' || na || '|' || nl, nt || '|' || na, nbt || '|' || na, nbt || '|' || na || '|' || nl, nt || '|' || nba, nbt || '|' || nba] as ks,
+      [s, s * 0.8e0, case when bt <> t then s * 0.6e0 end, case when bt <> t then s * 0.6e0 end, case when ba <> a then s * 0.6e0 end, case when ba <> a and bt <> t then s * 0.6e0 end] as ss from f)
+  where ss[i] is not null and replace(ks[i], '|', '') <> '')"""
+
 ORACLE = {
     "upsert_last_wins": f"{_SIDES} select k, name, id from s qualify row_number() over (partition by k order by n desc) = 1",
     "upsert_last_nonempty": f"{_SIDES} select k, coalesce(arg_max(name, n) filter (where name <> ''), arg_min(name, n)) as name from s group by k",
@@ -295,13 +415,39 @@ ORACLE = {
     "semi_bound": f"with {_CHART}, {_DIMS} select distinct c.service, c.song_id from chart c join bind b on b.service = c.service and b.song_id = c.song_id",
     "failed_bindings": f"with {_DIMS} select b.service, b.song_id, b.track_uid from bind b left join tracks t using (track_uid) where t.track_uid is null or coalesce(nullif(lower(trim(match_status)), ''), 'unmatched') in ('failed', 'duplicate_skipped', 'manual_blocked', 'unmatched')",
     "resolved_songs": f"""with {_CHART}, {_DIMS},
-bad as (select b.service, b.song_id from bind b left join tracks t using (track_uid) where t.track_uid is null or coalesce(nullif(lower(trim(match_status)), ''), 'unmatched') in ('failed', 'duplicate_skipped', 'manual_blocked', 'unmatched')),
-idx as (select lower(trim(yt_title) || '|' || trim(yt_artist)) as k, min(track_uid) as u from tracks where yt_title <> '' and yt_artist <> '' group by 1),
-s as (select distinct c.service, c.song_id from chart c)
-select s.service, s.song_id, coalesce(case when bad.song_id is null then b.track_uid end, u, 'trk_' || substr(sha1(s.service || ':' || s.song_id), 1, 16)) as track_uid,
-  case when bad.song_id is null and b.track_uid is not null then 'binding' when u is not null then 'metadata' else 'new' end as uid_source
-from s left join bind b on b.service = s.service and b.song_id = s.song_id left join bad on bad.service = s.service and bad.song_id = s.song_id
-left join meta m on m.service = s.service and m.song_id = s.song_id left join idx on idx.k = lower(concat_ws('|', title_en, artist_en))""",
+tr as (select track_uid, coalesce(trim(canonical_yt_video_id), '') as v, lower(trim(yt_artist)) as a, yt_title, yt_artist,
+  coalesce(nullif(lower(trim(match_status)), ''), 'unmatched') in ('failed', 'duplicate_skipped', 'manual_blocked', 'unmatched') as bad from tracks),
+vid as (select v, min(track_uid) as u from tr where v <> '' group by 1),
+art as (select a, min(v) as v from tr where v <> '' group by 1),
+idx as (select lower(trim(yt_title) || '|' || trim(yt_artist)) as k, min(track_uid) as u from tr where yt_title <> '' and yt_artist <> '' group by 1),
+s as (select distinct service, song_id, ascii(right(song_id, 1)) % 4 as n, ascii(right(song_id, 1)) % 11 as o from chart),
+x as (
+  select s.service, s.song_id, o, b.track_uid as bound, coalesce(own.bad, true) as bad, nullif(own.v, '') as own_video, art.v as art_video, idx.u as meta,
+    nullif(case n when 0 then own.v when 1 then 'N' || s.song_id when 2 then art.v end, '') as video
+  from s left join bind b on b.service = s.service and b.song_id = s.song_id left join tr own on own.track_uid = b.track_uid left join art on art.a = own.a
+  left join meta m on m.service = s.service and m.song_id = s.song_id left join idx on idx.k = lower(concat_ws('|', title_en, artist_en))),
+y as (
+  select x.*, vid.u as by_video, ov.u as over_video from x left join vid on vid.v = x.video left join vid ov on ov.v = x.art_video and x.o = 3),
+z as (
+  select *, case when o = 0 then 'block' when o = 1 then 'override' when o = 2 or (o = 3 and art_video is not null) then 'override_video'
+    when bound is not null and by_video is not null and by_video <> bound then case when own_video is null or own_video = video or bad then 'video' else 'binding' end
+    when bound is not null and own_video is not null then 'binding' when by_video is not null then 'video' when meta is not null then 'metadata' else 'new' end as uid_source from y)
+select service, song_id, uid_source, case uid_source when 'block' then 'trk_' || substr(sha1('blocked:' || service || ':' || song_id), 1, 16) when 'override' then 'trk_chosen'
+  when 'override_video' then coalesce(over_video, 'trk_' || substr(sha1('yt:' || case o when 2 then 'O' || song_id else art_video end), 1, 16))
+  when 'binding' then bound when 'video' then by_video when 'metadata' then meta else 'trk_' || substr(sha1(coalesce('yt:' || video, service || ':' || song_id)), 1, 16) end as track_uid
+from z""",
+    "ingested_bindings": f"with {_DIMS}, c as (select distinct case when lower(trim(service)) in ('youtube', 'youtube_music') then 'ytmusic' when coalesce(trim(service), '') = '' then 'unknown' else lower(trim(service)) end as service, trim(song_id) as song_id from source_tracks where trim(song_id) <> '' and not starts_with(trim(song_id), 'fallback:')) select service, song_id, coalesce(b.track_uid, 'trk_' || substr(sha1('unmatched:' || service || ':' || song_id), 1, 16)) as track_uid from bind b full join c using (service, song_id)",
+    "ingested_ranks": "select case when lower(trim(service)) in ('youtube', 'youtube_music') then 'ytmusic' when coalesce(trim(service), '') = '' then 'unknown' else lower(trim(service)) end as service, trim(song_id) as song_id, min(rank) as rank_order from source_tracks where trim(song_id) <> '' and not starts_with(trim(song_id), 'fallback:') group by 1, 2",
+    "history_source": f"with {_CHART}, {_DIMS} select c.service, c.job_name, c.source_variant, c.period as chart_date, c.song_id, b.track_uid, c.rank_order, t.canonical_yt_video_id as video_id, coalesce(title_ko, title_en, yt_title) as title, coalesce(artist_ko, artist_en, yt_artist) as artist, coalesce(album_ko, album_en, yt_album) as album, artwork_url from chart c join bind b on b.service = c.service and b.song_id = c.song_id join tracks t on t.track_uid = b.track_uid left join meta m on m.service = c.service and m.song_id = c.song_id",
+    "repaired_bindings": f"""with {_DIMS}, bad as (select b.service, b.song_id from bind b left join tracks t using (track_uid) where t.track_uid is null or coalesce(nullif(lower(trim(match_status)), ''), 'unmatched') in ('failed', 'duplicate_skipped', 'manual_blocked', 'unmatched')),
+{_IDX}, good as (select k, u from idx join tracks t on t.track_uid = idx.u where coalesce(nullif(lower(trim(match_status)), ''), 'unmatched') not in ('failed', 'duplicate_skipped', 'manual_blocked', 'unmatched') and canonical_yt_video_id <> '')
+select service, song_id, u as track_uid from bad join meta m using (service, song_id) join good on good.k = {_KEY.format(norm_sql('title_en'), norm_sql('artist_en'))}""",
+    "cached_songs": f"""with {_DIMS}, good as (select track_uid from tracks where coalesce(lower(trim(match_status)), 'unmatched') not in ('failed', 'duplicate_skipped', 'manual_blocked', 'unmatched') and canonical_yt_video_id <> ''),
+{_IDX}, hit as (select k, u from idx join good on good.track_uid = idx.u)
+select m.service, m.song_id, coalesce(g.track_uid, hit.u) as track_uid, case when g.track_uid is not null then 'binding' when hit.u is not null then 'metadata' end as match_source
+from meta m left join bind b on b.service = m.service and b.song_id = m.song_id left join good g on g.track_uid = b.track_uid left join hit on hit.k = {_KEY.format(norm_sql('title_en'), norm_sql('artist_en'))}""",
+    "song_lookup_keys": f"with {_DIMS}, n as (select service, song_id, title_en as t, artist_en as a, coalesce(album_en, '') as al, 1e0 as s from meta where title_en is not null and artist_en is not null), {_KEYS} select service, song_id, key, round(score, 4) as score from keys",
+    "merged_lookup_index": f"with n as (select track_uid, yt_title as t, yt_artist as a, coalesce(yt_album, '') as al, coalesce(best_score, 0) as s from tracks where yt_title <> '' and yt_artist <> ''), {_KEYS} select key as lookup_key, arg_max(track_uid, (score, track_uid)) as track_uid, round(max(score), 6) as score from keys group by 1",
     "left_join_count_zero": "select c_custkey, count(o_orderkey) as n from customer left join orders on o_custkey = c_custkey group by 1",
     "left_join_group_max": "select p_partkey, max(l_quantity) as most from part left join lineitem on l_partkey = p_partkey group by 1",
     "dup_having": "select md5(text) as h, count(*) as n from documents where text <> '' group by 1 having count(*) > 1",

@@ -111,15 +111,50 @@ def similarity_seq(spark, d):
     return t.unionByName(m).select("k", F.round(M.similarity(F.col("a"), F.col("b"), True), 6).alias("similarity"))
 
 
+def _hits(spark, d):
+    """Songs in both languages, and as their candidates all search hits of
+    songs of the same title."""
+    r = table(spark, d, "match_results").where("title <> ''").withColumn("t", F.lower(F.trim("title")))
+    many = lambda *cs: F.array_distinct(F.array_compact(F.array(*[F.nullif(F.trim(c), F.lit("")) for c in cs])))
+    songs = r.select("result_id", "t", many("title", "title_ko", "title_en").alias("titles"), many("artist", "artist_ko", "artist_en").alias("artists"), many("album", "album_ko", "album_en").alias("albums"))
+    hits = r.where("yt_title <> ''").select("t", F.col("result_id").alias("candidate"), "video_id", many("yt_title").alias("titles"), many("yt_artist").alias("artists"), many("yt_album").alias("albums"), K.result_type(F.col("yt_result_type")).alias("kind"))
+    return songs.drop("t"), songs.select("result_id", "t").join(hits, "t").drop("t")
+
+
 def candidate_scores(spark, d):
     """Scores of the search hits of each song, and whether they pass the gates."""
-    r = table(spark, d, "match_results").where("title <> '' and artist <> ''")
-    one = lambda c: F.array_compact(F.array(F.nullif(F.trim(c), F.lit(""))))
-    songs = r.select("result_id", F.concat(one("title"), one("title_en")).alias("titles"), F.concat(one("artist"), one("artist_en")).alias("artists"), one("album").alias("albums"))
-    hits = r.where("yt_title <> ''").select("result_id", F.lit(1).alias("candidate"), one("yt_title").alias("titles"), one("yt_artist").alias("artists"), one("yt_album").alias("albums"), K.result_type(F.col("yt_result_type")).alias("kind"))
+    songs, hits = _hits(spark, d)
     s = candidates.score_candidates(songs, hits, ["result_id"])
-    gate = S.passes_gates(F.col("score"), F.col("title_score"), F.col("artist_score"), F.lit(True))
-    return s.select("result_id", *[F.round(c, 6).alias(c) for c in ("score", "title_score", "artist_score", "album_score")], gate.alias("passes"))
+    s = s.join(songs.select("result_id", (F.size("artists") > 0).alias("named")), "result_id")
+    gate = S.passes_gates(F.col("score"), F.col("title_score"), F.col("artist_score"), F.col("named"))
+    return s.select("result_id", "candidate", *[F.round(c, 6).alias(c) for c in ("score", "title_score", "artist_score", "album_score")], gate.alias("passes"))
+
+
+def video_songs(spark, d):
+    """The song that may stand for each hit that is a video."""
+    songs, hits = _hits(spark, d)
+    r = table(spark, d, "match_results").where("yt_title <> ''").select("result_id", "video_id", F.col("yt_title").alias("title"), F.col("yt_artist").alias("artist"), K.result_type(F.col("yt_result_type")).alias("kind"))
+    c = hits.select("result_id", F.col("candidate").alias("place"), "video_id", "titles", "artists", F.coalesce(F.get("albums", 0), F.lit("")).alias("album"), "kind")
+    return candidates.resolve_videos(r.where("kind = 'video'").drop("kind"), c, ["result_id"]).drop("resolved_artist")
+
+
+def verified_titles(spark, d):
+    """Whether the title of each hit may stand for its song."""
+    m = table(spark, d, "match_results").select("result_id", F.array("title", "title_ko", "title_en").alias("names"), "yt_title")
+    return candidates.verify_titles(m, "names", "yt_title").select("result_id", "verified")
+
+
+def stopped_searches(spark, d):
+    """The match of each song and service if its results came query by query."""
+    m = table(spark, d, "match_results").select(F.lower(F.trim("service")).alias("service"), F.lower(F.trim("title")).alias("title"), "result_id", "score", "title_score", "artist_score", F.pmod("rank", F.lit(3)).alias("query_no"))
+    return candidates.first_passing(m.where("title <> ''"), ["service", "title"], "query_no", "result_id").select("service", "title", "result_id", "query_no")
+
+
+def staged_hits(spark, d):
+    """Hits of the second stage only for titles whose first three are weak."""
+    m = table(spark, d, "match_results").select(F.lower(F.trim("title")).alias("title"), "result_id", F.coalesce("score", F.lit(0.0)).alias("score"), (F.pmod("result_id", F.lit(2)) + 1).alias("stage")).where("title <> ''")
+    m = ranking.rerank(m, ["title", "stage"], [F.col("result_id")], "place")
+    return candidates.staged(m, ["title"], "stage", "score").select("result_id", "stage", "place")
 
 
 def best_hit(spark, d):
@@ -232,13 +267,25 @@ def last_turn(spark, d):
     return t.groupBy("source", "track_uid").agg(F.max_by("doc_id", F.struct("posted_at", "doc_id")).alias("doc_id"), F.count("*").alias("n"))
 
 
-def release_scores(spark, d):
-    """Albums of songs as releases: the best one per artist."""
+def _releases(spark, d):
+    """Albums of songs as releases of a catalogue, some of them bootlegs or of
+    other kinds."""
     r = table(spark, d, "match_results").where("album <> '' and title <> '' and artist <> ''")
     kind = F.when(F.col("album").endswith(" - EP"), "EP").when(F.col("album").endswith(" - Single"), "Single").otherwise("Album")
-    s = S.release_score(F.lower("album"), F.lower("title"), kind, F.lit("KR"))
-    x = r.select("artist", "result_id", "album", F.round(s, 6).alias("s"))
-    return candidates.release_choice(x, ["artist"], "s", "result_id", "album")
+    status = F.when(F.col("result_id") % 11 == 0, "Bootleg").otherwise("Official")
+    other = F.when(F.col("result_id") % 13 == 0, F.array(F.lit("Live"))).otherwise(F.array(F.lit("Soundtrack")))
+    s = S.release_score(X.norm_match(F.col("album")), X.norm_match(F.col("title")), kind, F.lit("KR"), status, other)
+    return r.select("artist", "result_id", "album", F.round(s, 6).alias("s"))
+
+
+def release_scores(spark, d):
+    """The best release per artist."""
+    return candidates.release_choice(_releases(spark, d), ["artist"], "s", "result_id", "album")
+
+
+def release_eligibility(spark, d):
+    """The score of every release; -1 if it may not represent the song."""
+    return _releases(spark, d).select("result_id", "s")
 
 
 def crawl_dates(spark, d):
@@ -250,9 +297,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_text_key, normalized_documents, strip_parens, feature_sig, version_sig, identity_keys, identity_groups, stable_uid, split_variants, names_once, distinct_by_name,
-        token_overlap, multiset_overlap, similarity_seq, candidate_scores, best_hit, match_gates, match_methods, result_types, url_parts, song_urls,
+        token_overlap, multiset_overlap, similarity_seq, candidate_scores, video_songs, verified_titles, stopped_searches, staged_hits, best_hit, match_gates, match_methods, result_types, url_parts, song_urls,
         duration_seconds, json_props, json_walk, html_table, html_links, csv_charts, fallback_strategies, balanced_json, multi_source_dedupe, last_turn,
-        release_scores, crawl_dates,
+        release_scores, release_eligibility, crawl_dates,
     )
 }
 
@@ -261,6 +308,13 @@ _PAGE = f"""with {_CHART}, page as (
   select 'https://pages.example/' || job_name || '/' || source_variant || '/' || period as url, rank_order, song_id, period, job_name, source_variant from chart)"""
 _PLACE_IN_PAGE = "row_number() over (partition by job_name, source_variant, period order by rank_order nulls last, song_id)"
 _WORDS = "list_filter(regexp_split_to_array(coalesce({0}, ''), '\\s+'), lambda z: z <> '')"
+_GATES = "score >= 0.6 and title_score >= 0.65 and artist_score >= 0.55"
+_NA, _NT = Q.norm_match_sql("album"), Q.norm_match_sql("title")
+_OTHER = " or ".join(f"contains(na, '{w}') and not contains(nt, '{w}')" for w in ("live", "karaoke", "instrumental", "sped up", "slowed", "nightcore", "remix"))
+_RELEASES = f"""with n as (select artist, result_id, album, {_NA} as na, {_NT} as nt from match_results where album <> '' and title <> '' and artist <> ''),
+x as (select artist, result_id, album, case when result_id % 11 = 0 or result_id % 13 = 0 or na = '' or {_OTHER} then -1 else
+  round(0.25e0 + case when album like '% - EP' then 0.2e0 when album like '% - Single' then 0.3e0 else 0.35e0 end + 0.05e0 + case when na = nt then 0.1e0 else 0e0 end
+  - case when contains(na, 'deluxe') or contains(na, 'version') then 0.05e0 else 0e0 end, 6) end as s from n)"""
 _PAIRED = "^(.*?)\\s*[\\(\\[/（]\\s*(.*?)\\s*[\\)\\]/）]\\s*$"
 
 ORACLE = {
@@ -310,6 +364,9 @@ select k, round(coalesce(0.8e0 * shared / nullif(na, 0) + 0.2e0 * shared / nulli
     "balanced_json": "select event_id, cast(json_extract_string(props, '$.k') as int) as k from events",
     "multi_source_dedupe": "with t as (select row_id, nullif(trim(song_id), '') as s, list_position(['apple', 'melon', 'spotify', 'ytmusic'], lower(trim(service))) - 1 as source_no from source_tracks) select row_id, source_no from t where source_no >= 0 and s is not null qualify row_number() over (partition by s order by source_no, row_id) = 1 union all select row_id, source_no from t where source_no >= 0 and s is null",
     "last_turn": "select source, track_uid, arg_max(doc_id, (posted_at, doc_id)) as doc_id, count(*) as n from documents where track_uid is not null and source is not null group by all",
-    "release_scores": "with x as (select artist, result_id, album, round(0.25e0 + case when album like '% - EP' then 0.2e0 when album like '% - Single' then 0.3e0 else 0.35e0 end + 0.05e0 + case when lower(album) = lower(title) then 0.1e0 else 0e0 end - case when lower(album) like '%deluxe%' or lower(album) like '%version%' then 0.05e0 else 0e0 end, 6) as s from match_results where album <> '' and title <> '' and artist <> '') select artist, arg_min(album, (-s, result_id)) as release, max(s) as release_score from x where s > 0 group by 1",
+    "release_scores": f"{_RELEASES} select artist, arg_min(album, (-s, result_id)) as release, max(s) as release_score from x where s > 0 group by 1",
+    "release_eligibility": f"{_RELEASES} select result_id, s from x",
+    "stopped_searches": f"with m as (select lower(trim(service)) as service, lower(trim(title)) as title, result_id, score, rank % 3 as query_no from match_results where trim(title) <> '' and {_GATES}), q as (select service, title, min(query_no) as stop from m group by 1, 2) select m.service, m.title, m.result_id, m.query_no from m join q on q.service is not distinct from m.service and q.title = m.title where m.query_no = stop qualify row_number() over (partition by m.service, m.title order by score desc, result_id) = 1",
+    "staged_hits": "with m as (select lower(trim(title)) as title, result_id, coalesce(score, 0) as score, result_id % 2 + 1 as stage, row_number() over (partition by lower(trim(title)), result_id % 2 order by result_id) as place from match_results where trim(title) <> ''), t as (select title, max(score) as top from m where stage = 1 and place <= 3 group by 1) select result_id, stage, place from m left join t using (title) where stage = 1 or coalesce(top, 0) < 0.75",
     "crawl_dates": "select event_id, strftime(date_trunc('second', ts) + interval 9 hours, '%Y-%m-%d') as day from events",
 }

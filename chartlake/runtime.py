@@ -63,10 +63,13 @@ def map_arrow(
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. The cluster names it in
-    ``spark.checkpoint.dir``; only where that is unset (tests, local mode)
-    a folder of this machine is used."""
+    ``spark.checkpoint.dir``; only in local mode, where driver and executors are
+    one machine, is a folder of this machine used instead."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = os.path.join(tempfile.gettempdir(), f"chartlake-{os.getpid()}")
         if not os.path.isdir(base):
             os.makedirs(base)
@@ -75,15 +78,32 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again. Cuts
-    the lineage, survives lost executors, and makes counts cheap."""
+    the lineage, survives lost executors, and makes counts cheap. ``release``
+    deletes the tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chartlake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> int:
+    """Delete all tables that ``materialize`` wrote, and return how many: after
+    the actions on the frames that were made of them."""
+    n = 0
+    while _written:
+        spark, path = _written.pop()
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        n += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return n
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df`` (materialised: the count reads footers only)
     has at most ``rows`` rows; else hint a shuffled hash join, for which AQE

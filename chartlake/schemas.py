@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,21 @@ TABLES = {
 }
 
 
+# Names of columns in older tables.
+RENAMES = {"playlist_order": {"chart_date": "reference_period", "rank": "rank_order"}, "tracks": {"video_id": "canonical_yt_video_id", "status": "match_status", "score": "best_score"}}
+
+
+def columns(ddl: str) -> list[str]:
+    """Names of the columns of a schema, without a session."""
+    depth, out, start = 0, [], 0
+    for i, c in enumerate(ddl + ","):
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and depth == 0:
+            out.append(ddl[start:i].split()[0])
+            start = i + 1
+    return out
+
+
 def create_all(spark: SparkSession, folder: str) -> list[str]:
     """Creates the tables that are not there yet; returns their names."""
     made = []
@@ -58,6 +76,25 @@ def conform(df: DataFrame, ddl: str, renames: dict[str, str] | None = None) -> D
     return df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
 
 
+def rebuilt(df: DataFrame, table: str, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """An old table in its declared form: columns renamed and cast, rows with a
+    null or blank key dropped, and of rows with one key the last in ``order``
+    (ties: the greatest row)."""
+    new = conform(df, TABLES[table], RENAMES.get(table))
+    ok = reduce(lambda a, b: a & b, [F.trim(F.col(k).cast("string")) != "" for k in keys])
+    rest = [c for c in new.columns if c not in keys]
+    best = new.where(ok).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order])).alias("x"))
+    return best.select(*[c if c in keys else F.col(f"x.{c}").alias(c) for c in new.columns])
+
+
+def pending(spark: SparkSession, folder: str, steps: Sequence[tuple[str, str]], now) -> DataFrame:
+    """Rows of ``schema_migrations`` for the steps (``version, description``)
+    that the ledger in ``folder`` does not have yet."""
+    done = spark.read.schema(TABLES["schema_migrations"]).parquet(f"{folder}/schema_migrations")
+    want = spark.createDataFrame(list(steps), "version string, description string")
+    return want.join(done.select("version"), "version", "left_anti").select("version", now.cast("timestamp").alias("applied_at"), "description")
+
+
 def same_columns(df: DataFrame, ddl: str) -> bool:
     """Whether a table has the columns of ``ddl``, in any order."""
     from pyspark.sql.types import _parse_datatype_string
@@ -72,7 +109,24 @@ def create_views(tables: dict[str, DataFrame]) -> None:
 
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
+    if {"playlist_order", "platform_song_ids", "tracks", "track_list"} <= tables.keys():
+        history_source(*(tables[n] for n in ("playlist_order", "platform_song_ids", "tracks", "track_list"))).createOrReplaceTempView("frontend_history_source")
     if "match_attempts" in tables:
         last = latest_with_ties(tables["match_attempts"], ["service", "song_id"], "created_at")
         last.createOrReplaceTempView("latest_match_attempts")
         last.where((F.coalesce("track_uid", F.lit("")) == "") | ~F.coalesce("status", F.lit("")).isin(*GOOD)).createOrReplaceTempView("latest_failed_matches")
+
+
+def history_source(facts: DataFrame, bindings: DataFrame, tracks: DataFrame, names: DataFrame) -> DataFrame:
+    """Chart entries of bound songs with their entity and names: the Korean one
+    if it is filled, else the English one, else the entity's."""
+    ok = lambda c: F.nullif(F.col(c), F.lit(""))
+    texts = ("title", "artist", "album")
+    t = tracks.select("track_uid", F.col("canonical_yt_video_id").alias("video_id"), *[f"yt_{c}" for c in texts])
+    n = names.select(F.lower("service").alias("__service"), F.col("song_id").alias("__song"), *[f"{c}_{lang}" for c in texts for lang in ("ko", "en")], "artwork_url")
+    f = facts.select("service", "job_name", "source_variant", "reference_period", "song_id", "rank_order")
+    j = f.join(bindings.select("service", "song_id", "track_uid"), ["service", "song_id"]).join(t, "track_uid")
+    j = j.join(n, (F.lower(j["service"]) == n["__service"]) & (j["song_id"] == n["__song"]), "left")
+    period = [F.col("reference_period").alias(c) for c in ("chart_period", "chart_date")]
+    shown = [F.coalesce(ok(f"{c}_ko"), F.col(f"{c}_en"), F.col(f"yt_{c}")).alias(c) for c in texts]
+    return j.select(*f.columns[:4], *period, "song_id", "track_uid", "rank_order", "video_id", *[f"yt_{c}" for c in texts], *shown, F.lit("").alias("url"), "artwork_url")

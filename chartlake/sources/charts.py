@@ -6,6 +6,7 @@ column) and gives one row per entry; malformed documents give none.
 
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Iterator, Sequence
@@ -54,7 +55,7 @@ def parse_csv(docs: DataFrame, text: str = "text", limit: int | None = None) ->
         for b in batches:
             rows = []
             for url, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for i, row in enumerate(csv.DictReader((body or "").lstrip("﻿").splitlines())):
+                for i, row in enumerate(csv.DictReader(io.StringIO((body or "").lstrip("﻿"), newline=""))):
                     got = {k: next((row[n] for n in names if row.get(n)), None) for k, names in CSV_COLUMNS.items()}
                     rows.append((url, i, *(got[k] for k in CSV_COLUMNS)))
             cols = list(zip(*rows)) or [[]] * (2 + len(CSV_COLUMNS))

@@ -2,7 +2,8 @@
 
 ``spark.read.format("pagedjson").option("pages", folder)`` reads the answers of
 a service that were stored as ``<folder>/<name>.json``; each ``next`` link names
-the following page. The network part of a service is a ``fetch`` that may be
+the following page. A chain is read to its end; with ``most_pages`` a longer
+one fails. The network part of a service is a ``fetch`` that may be
 replaced by a subclass.
 """
 
@@ -20,7 +21,8 @@ class PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.folder = options["pages"]
         self.starts = [s for s in options.get("starts", "first").split(",") if s]
-        self.most = int(options.get("most_pages", "1000"))
+        most = options.get("most_pages")
+        self.most = None if most is None else int(most)
 
     def partitions(self) -> list[InputPartition]:
         """One per start page: chains are read side by side."""
@@ -35,7 +37,9 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         name, no, seen = partition.value, 0, set()
-        while name and name not in seen and no < self.most:
+        while name and name not in seen:
+            if no == self.most:
+                raise ValueError(f"{partition.value}: more than {self.most} pages")
             seen.add(name)
             body = self.fetch(name)
             if body is None:

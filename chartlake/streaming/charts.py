@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
+from chartlake.runtime import materialize
 from chartlake.sources.store import write_partitions
 
 
@@ -34,10 +36,22 @@ def sessions(stream: DataFrame, by: Sequence[str], at: str, gap: str = "30 minut
 
 def write_snapshots(stream: DataFrame, path: str, partition: Sequence[str], delivered: str, checkpoint: str) -> StreamingQuery:
     """Writes snapshots so that a period that comes again replaces itself: of
-    each batch the latest delivery of a partition, as a whole."""
+    each batch the latest delivery of a partition, as a whole, and only if what
+    is stored is not newer. So the result does not depend on the batches."""
 
     def batch(df: DataFrame, _: int) -> None:
         last = df.groupBy(*partition).agg(F.max(delivered).alias("__d"))
+        try:
+            stored = df.sparkSession.read.schema(df.schema).parquet(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            stored = None
+        if stored is not None:
+            there = stored.groupBy(*partition).agg(F.max(delivered).alias("__t"))
+            same = [last[c].eqNullSafe(there[c]) for c in partition] + [last["__d"] < there["__t"]]
+            last = last.join(there, same, "left_anti")
+        last = materialize(last, "latest")
         cond = [df[c].eqNullSafe(last[c]) for c in partition] + [df[delivered].eqNullSafe(last["__d"])]
         write_partitions(df.join(last, cond, "left_semi"), path, partition)
 

@@ -83,16 +83,21 @@ def test_keys(spark):
 
 
 def test_similarity(spark):
-    assert M.name_similarity("", "a") == 0
-    assert M.name_similarity("A!", "a", True) == 1.0
-    assert M.name_similarity("A (feat. B)", "A (feat. C)", True) == 0.85
-    assert M.name_similarity("Part 1", "Part 2", True) == 0.0
-    assert M.name_similarity("Song", "Song Deluxe", True) == 0.95
-    assert M.name_similarity("Song", "Song remix", True) < 0.95
-    assert M.name_similarity("tide", "diet") == 0.25 and M.name_similarity("diet", "tide") == 0.5
-    assert M.name_similarity("빛과", "빛과 그림자") >= 0.85
-    assert M.name_similarity(None, None) == 0
-    assert M.name_similarity(unicodedata.normalize("NFD", "가"), "가") == 1.0
+    def sim(left, right, title=False):
+        row = spark.createDataFrame([(left, right)], "l string, r string")
+        return row.select(M.similarity(F.col("l"), F.col("r"), title)).first()[0]
+
+    assert sim("", "a") == 0
+    assert sim("A!", "a", True) == 1.0
+    assert sim("A (feat. B)", "A (feat. C)", True) == 0.85
+    assert sim("Part 1", "Part 2", True) == 0.0
+    assert sim("Song", "Song Deluxe", True) == 0.95
+    assert sim("Song", "Song remix", True) < 0.95
+    assert sim("tide", "diet") == 0.25 and sim("diet", "tide") == 0.5
+    assert sim("빛과", "빛과 그림자") >= 0.85
+    assert sim(None, None) == 0
+    assert sim(unicodedata.normalize("NFD", "가"), "가") == 1.0
+    assert sim("new jeans", "newjeans") == 1.0 and sim("Song (Explicit)", "song", True) == 1.0
     df = spark.createDataFrame([("a a b", "a b b"), ("", "x"), (None, None)], "l string, r string")
     assert [round(r[0], 4) for r in df.select(M.token_overlap(F.col("l"), F.col("r"))).collect()] == [0.6667, 0.0, 0.0]
-    assert [r[0] for r in df.select(M.similarity(F.col("l"), F.col("r"))).collect()] == [M.name_similarity("a a b", "a b b"), 0.0, 0.0]
+    assert [r[0] for r in df.select(M.similarity(F.col("l"), F.col("r"))).collect()] == [sim("a a b", "a b b"), 0.0, 0.0]

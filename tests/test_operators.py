@@ -1,6 +1,7 @@
 """Merges, components, lookups, ranks, resolution, report and history."""
 
 import random
+from hashlib import sha1
 from datetime import datetime
 
 import pytest
@@ -222,12 +223,12 @@ def test_quality(spark):
 def test_resolution(spark):
     songs = spark.createDataFrame([("s", "1", "v9", ["k"]), ("s", "2", None, ["k"]), ("s", "3", "v1", []), ("s", "4", None, []), ("s", "5", None, ["k"])], "service string, song_id string, video_id string, keys array<string>")
     bind = spark.createDataFrame([("s", "1", "u1"), ("s", "5", "u5")], "service string, song_id string, track_uid string")
-    tracks = spark.createDataFrame([("u1", "matched"), ("u5", "failed")], "track_uid string, match_status string")
+    tracks = spark.createDataFrame([("u1", "matched", "v0"), ("u5", "failed", "")], "track_uid string, match_status string, canonical_yt_video_id string")
     videos = spark.createDataFrame([("v1", "uv")], "video_id string, track_uid string")
     index = spark.createDataFrame([("k", "um")], "lookup_key string, track_uid string")
     over = spark.createDataFrame([("s", "4", "block", None, None)], "service string, song_id string, action string, target_track_uid string, canonical_yt_video_id string")
     got = resolve.resolve_uids(songs, bind, videos, index, over, tracks)
-    assert rows(got, "song_id", "track_uid", "uid_source") == [("1", "u1", "binding"), ("2", "um", "metadata"), ("3", "uv", "video"), ("4", "blocked:s:4", "block"), ("5", "um", "metadata")]
+    assert rows(got, "song_id", "track_uid", "uid_source") == [("1", "u1", "binding"), ("2", "um", "metadata"), ("3", "uv", "video"), ("4", "trk_" + sha1(b"blocked:s:4").hexdigest()[:16], "block"), ("5", "um", "metadata")]
 
 
 def test_winners_and_moves(spark):
