@@ -438,6 +438,7 @@ select service, song_id, uid_source, case uid_source when 'block' then 'trk_' ||
 from z""",
     "ingested_bindings": f"with {_DIMS}, c as (select distinct case when lower(trim(service)) in ('youtube', 'youtube_music') then 'ytmusic' when coalesce(trim(service), '') = '' then 'unknown' else lower(trim(service)) end as service, trim(song_id) as song_id from source_tracks where trim(song_id) <> '' and not starts_with(trim(song_id), 'fallback:')) select service, song_id, coalesce(b.track_uid, 'trk_' || substr(sha1('unmatched:' || service || ':' || song_id), 1, 16)) as track_uid from bind b full join c using (service, song_id)",
     "ingested_ranks": "select case when lower(trim(service)) in ('youtube', 'youtube_music') then 'ytmusic' when coalesce(trim(service), '') = '' then 'unknown' else lower(trim(service)) end as service, trim(song_id) as song_id, min(rank) as rank_order from source_tracks where trim(song_id) <> '' and not starts_with(trim(song_id), 'fallback:') group by 1, 2",
+    "ingested_status": "with c as (select distinct case when lower(trim(service)) in ('youtube', 'youtube_music') then 'ytmusic' when coalesce(trim(service), '') = '' then 'unknown' else lower(trim(service)) end as service, trim(coalesce(song_id, '')) as song_id, coalesce(nullif(trim(song_id), ''), concat_ws('|', lower(trim(title)), lower(trim(artist)))) as key from source_tracks), b as (select lower(trim(service, ' ' || chr(9) || chr(10) || chr(13))) as service, trim(song_id, ' ' || chr(9) || chr(10) || chr(13)) as song_id from platform_song_ids where track_uid <> '' group by 1, 2), n as (select distinct 'unmatched' as match_status, c.service || ':' || key from c left join b on b.service = c.service and b.song_id = c.song_id where b.service is null) select match_status, count(*) as n from (select match_status from tracks union all select match_status from n) group by 1",
     "history_source": f"with {_CHART}, {_DIMS} select c.service, c.job_name, c.source_variant, c.period as chart_date, c.song_id, b.track_uid, c.rank_order, t.canonical_yt_video_id as video_id, coalesce(title_ko, title_en, yt_title) as title, coalesce(artist_ko, artist_en, yt_artist) as artist, coalesce(album_ko, album_en, yt_album) as album, artwork_url from chart c join bind b on b.service = c.service and b.song_id = c.song_id join tracks t on t.track_uid = b.track_uid left join meta m on m.service = c.service and m.song_id = c.song_id",
     "repaired_bindings": f"""with {_DIMS}, bad as (select b.service, b.song_id from bind b left join tracks t using (track_uid) where t.track_uid is null or coalesce(nullif(lower(trim(match_status)), ''), 'unmatched') in ('failed', 'duplicate_skipped', 'manual_blocked', 'unmatched')),
 {_IDX}, good as (select k, u from idx join tracks t on t.track_uid = idx.u where coalesce(nullif(lower(trim(match_status)), ''), 'unmatched') not in ('failed', 'duplicate_skipped', 'manual_blocked', 'unmatched') and canonical_yt_video_id <> '')
