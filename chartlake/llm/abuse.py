@@ -12,10 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartlake.llm.codepoints import chunks, offsets_of, row_ids, to_codepoints
@@ -25,6 +27,8 @@ from chartlake.runtime import map_arrow
 #: Labelled documents that training uses at most, a third of them abusive, chosen
 #: by a hash of their id.
 MAX_TRAIN_DOCS = 8_000
+#: Characters of them that training uses at most: whole documents, in that order.
+MAX_TRAIN_CHARS = 16_000_000
 BITS = 20
 GRAMS = (2, 3, 4, 5)
 TIGHT = (3, 4, 5)
@@ -271,12 +275,39 @@ def _train(s: _Sample, use: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, fl
     return w, b
 
 
-def train(texts: list[str], labels: np.ndarray, folds: int = 3) -> Model:
+def _fold(s: _Sample, use: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of a fold and their scores by a model of the others."""
+    w, b = _train(s, use & (turn != k))
+    mine = np.flatnonzero(turn == k)
+    return mine, (s.highest(s.sums(w))[0] + b)[mine]
+
+
+def _folds_in_tasks(spark: SparkSession, texts: list[str], y: np.ndarray, use: np.ndarray, turn: np.ndarray, folds: int) -> np.ndarray:
+    """The held-out scores of all documents, a task per fold."""
+    sent = spark.sparkContext.broadcast((texts, y, use, turn))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y, use, turn = sent.value
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                at, score = _fold(_Sample(texts, y), use, turn, k)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(score, pa.float64())], names=["at", "score"])
+
+    rows = map_arrow(spark.range(0, folds, 1, folds), run, "at int, score double").collect()  # one row per sampled document
+    sent.destroy()
+    out = np.empty(len(texts))
+    for r in rows:
+        out[r.at] = r.score
+    return out
+
+
+def train(texts: list[str], labels: np.ndarray, folds: int = 3, spark: SparkSession | None = None) -> Model:
     """A model from texts and their labels (true: abusive).
 
     Documents are scored by models that did not see them; labels that such a
     model contradicts clearly are left out of the final fit, and the scores
-    calibrate it. Without both labels the model calls nothing abusive.
+    calibrate it. Without both labels the model calls nothing abusive. With a
+    session the folds are trained in tasks, side by side, with the same result.
     """
     y = np.asarray(labels, bool)
     if not len(y) or y.all() or not y.any():
@@ -285,9 +316,11 @@ def train(texts: list[str], labels: np.ndarray, folds: int = 3) -> Model:
     turn = np.random.default_rng(11).permutation(s.n) % folds
     use, out = np.ones(s.n, bool), np.full(s.n, -9.0)
     for _ in range(2):
-        for k in range(folds):
-            w, b = _train(s, use & (turn != k))
-            out[turn == k] = (s.highest(s.sums(w))[0] + b)[turn == k]
+        if spark is not None:
+            out = _folds_in_tasks(spark, texts, y, use, turn, folds)
+        else:
+            for at, score in (_fold(s, use, turn, k) for k in range(folds)):
+                out[at] = score
         use = ~(y & (out < DOUBT) | ~y & (out > SURE))
     w, b = _train(s, use)
     slope, bias = _calibrate(out, y)
@@ -309,9 +342,9 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return best[1], best[2]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``max_docs`` labelled documents: the bounded
-    training sample, the same for the same data. A document's label is the
+def labelled(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of at most ``max_docs`` labelled documents of at most
+    ``max_chars`` characters together: the bounded training sample, the same for the same data. A document's label is the
     majority of its judgements of 0 or 1; other judgements and ties are ignored,
     and so are documents without text."""
     votes = (
@@ -322,13 +355,26 @@ def labelled(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS)
     most = {"share > 0.5": max_docs // 3, "share < 0.5": max_docs - max_docs // 3}
     some = [votes.where(test).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for test, n in most.items()]
     votes = F.broadcast(some[0].union(some[1]))
-    rows = docs.select("doc_id", "text").where("text <> ''").join(votes, "doc_id").orderBy("doc_id").collect()
+    rows = docs.select("doc_id", "text").where("text <> ''").join(votes, "doc_id")
+    taken = F.sum(F.length("text")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))  # of max_docs rows
+    rows = rows.withColumn("taken", taken).where(F.col("taken") <= max_chars).orderBy("doc_id").select("text", "share").collect()
     return [r.text for r in rows], np.array([r.share > 0.5 for r in rows], bool)
 
 
+_fitted: dict[str, Model] = {}
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """The model of the labelled documents (see ``labelled`` and ``train``)."""
-    return train(*labelled(docs, labels, max_docs))
+    """The model of the labelled documents (see ``labelled`` and ``train``). The
+    same sample is fitted once: the model is kept under the sample's hash."""
+    texts, y = labelled(docs, labels, max_docs)
+    h = sha256(y.tobytes())
+    for t in texts:
+        h.update(t.encode("utf-8", "surrogatepass") + b"\0")
+    if h.hexdigest() not in _fitted:
+        _fitted.clear()  # one model at a time
+        _fitted[h.hexdigest()] = train(texts, y, spark=docs.sparkSession)
+    return _fitted[h.hexdigest()]
 
 
 def score(df: DataFrame, model: Model, text: str = "text", output: str = "abuse") -> DataFrame:

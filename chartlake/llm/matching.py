@@ -287,10 +287,16 @@ def _edit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps)), pa.array(np.concatenate(keys))], names=["rep", "key"])
 
 
+#: Letters from which an edit distance is worked out a row at a time in numpy.
+LONG = 64
+
+
 def edits(a: str, b: str) -> int:
     """Edit distance in which a swap of neighbours is one edit."""
     if a == b:
         return 0
+    if min(len(a), len(b)) >= LONG:
+        return _long_edits(a, b)
     two, one = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -303,6 +309,25 @@ def edits(a: str, b: str) -> int:
     return one[-1]
 
 
+def _long_edits(a: str, b: str) -> int:
+    """The same for long names: all letters of ``b`` at once. Insertions carry
+    along a row, which is a running minimum of what the row has less its place."""
+    y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    x = np.frombuffer(a.encode("utf-32-le"), np.uint32)
+    place = np.arange(len(y) + 1)
+    two, one = None, place.copy()
+    for i in range(len(x)):
+        row = np.empty_like(one)
+        row[0] = i + 1
+        row[1:] = np.minimum(one[1:] + 1, one[:-1] + (y != x[i]))
+        if i:
+            swap = (y[:-1] == x[i]) & (y[1:] == x[i - 1])
+            row[2:] = np.where(swap, np.minimum(row[2:], two[:-2] + 1), row[2:])
+        row = np.minimum.accumulate(row - place) + place
+        two, one = one, row
+    return int(one[-1])
+
+
 def least_edits(a: str, b: str) -> int:
     """A bound of ``edits`` from below, by the letters alone."""
     x, y = Counter(a), Counter(b)
@@ -319,7 +344,7 @@ def closeness(xs: list[str], ys: list[str]) -> tuple[float, float, str, str]:
         for y in ys:
             a, b = x.replace(" ", ""), y.replace(" ", "")
             size = max(len(a), len(b), 1)
-            if size > 400 or 1 - least_edits(a, b) / size <= max(best[0], 0.4):
+            if 1 - least_edits(a, b) / size <= max(best[0], 0.4):
                 continue
             d = edits(a, b)
             if 1 - d / size > best[0]:
@@ -425,12 +450,23 @@ def match_records(df: DataFrame, key: str, source: str, threshold: float = 0.5,
     and part; guests, ratings and albums make no difference. Rows without a
     title or artist, or without a key or source, match nothing. Repeated rows
     of a key count once. Null and empty names are missing; names of any length
-    are compared whole, but names of more than 400 letters only for equality.
-    Other columns are ignored, and an empty table gives no pairs.
+    are compared whole. Other columns are ignored, and an empty table gives no pairs.
 
     Rows with the same names are one representative, so copies are never
-    compared; they meet again only in the pairs that are returned.
+    compared (see ``match_classes``); they meet only in the pairs returned here.
     """
+    links, m = match_classes(df, key, source, threshold, max_train)
+    both = links.unionByName(links.where("rep_a <> rep_b").select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"), "confidence"))
+    left = m.select(F.col("id").alias("id_a"), F.col("origin").alias("__o"), F.col("rep").alias("rep_a"))
+    right = m.select(F.col("id").alias("id_b"), F.col("origin").alias("__p"), F.col("rep").alias("rep_b"))
+    out = both.join(left, "rep_a").join(right, "rep_b").where("id_a < id_b and __o <> __p")
+    return out.select("id_a", "id_b", "confidence")
+
+
+def match_classes(df: DataFrame, key: str, source: str, threshold: float = 0.5, max_train: int = MAX_TRAIN_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """The same without expanding copies: pairs of representatives ``(rep_a,
+    rep_b, confidence)``, one with itself if its rows match each other, and the
+    membership ``(id, origin, rep)`` of every row with a title and an artist."""
     src = df.select(F.col(key).cast("bigint").alias("id"), F.lower(F.trim(F.col(source))).alias("origin"), *[F.col(f).cast("string").alias(f) for f in FIELDS])
     parsed = map_arrow(
         src.where("id is not null and origin is not null"),
@@ -477,9 +513,4 @@ def match_records(df: DataFrame, key: str, source: str, threshold: float = 0.5,
     links = scored.where(F.col("confidence") >= threshold)
     if same >= threshold:
         links = links.unionByName(reps.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.lit(same).alias("confidence")))
-    both = links.unionByName(links.where("rep_a <> rep_b").select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"), "confidence"))
-    m = named.select("id", "origin", "rep")
-    left = m.select(F.col("id").alias("id_a"), F.col("origin").alias("__o"), F.col("rep").alias("rep_a"))
-    right = m.select(F.col("id").alias("id_b"), F.col("origin").alias("__p"), F.col("rep").alias("rep_b"))
-    out = both.join(left, "rep_a").join(right, "rep_b").where("id_a < id_b and __o <> __p")
-    return out.select("id_a", "id_b", "confidence")
+    return links, named.select("id", "origin", "rep")

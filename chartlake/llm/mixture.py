@@ -3,9 +3,11 @@
 Each source is a queue of its shuffled documents, repeated at most a capped
 number of times. A document's virtual finish time is the tokens of its source
 up to and with it, divided by the source's weight; in the order of finish times
-the sources keep their weights at every point, and the mixture ends at the
-budget. The running sums are made of two levels (buckets of the shuffled order,
-then rows of a bucket), so that no source has to fit into one task.
+the sources keep their weights at every point. All documents are then sorted by
+finish time, and the mixture ends where their tokens reach the budget. Running
+sums are made of two levels (buckets of the order, then rows of a bucket), so
+that neither a source nor the mixture has to fit into one task; only the sums of
+buckets, one per ``BUCKET_ROWS`` documents, are added up in order.
 """
 
 from __future__ import annotations
@@ -52,8 +54,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, budget: float | None = None
 
     - Shares are taken relative to the sources that have documents; a target
       without documents gets nothing and is reported with an actual share of 0.
-    - A given budget is never exceeded, so each source may lack up to one document;
-      without one each source is off by half a document at most.
+    - The budget is never exceeded: documents are taken in the order of finish
+      times up to the first one that would, so a source is off by about one
+      document at most.
     - A budget beyond what a source can give with its repeats makes that
       source fall short; the report shows it.
     - Documents of other or null sources, and documents without tokens (null
@@ -65,7 +68,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, budget: float | None = None
     """
     docs = docs.select("doc_id", "source", "n_tokens").where("n_tokens > 0 and source is not null")
     queues = materialize(_queues(docs, targets, budget), "queues")
-    few = F.broadcast(queues.where("passes > 0").select("source", "weight", "budget", "passes", "buckets"))
+    uses = F.sum(F.col("documents") * F.col("passes")).over(W.partitionBy(F.lit(0))).alias("documents")
+    few = F.broadcast(queues.where("passes > 0").select("source", "weight", "budget", "passes", "buckets", uses))  # one row per target
     used = (
         docs.join(few, "source")
         .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("passes"))))
@@ -77,16 +81,27 @@ def mix_sources(docs: DataFrame, targets: DataFrame, budget: float | None = None
     sums = used.groupBy(*place).agg(F.sum("n_tokens").alias("in_bucket"))
     sums = sums.withColumn("ahead", F.sum("in_bucket").over(W.partitionBy("source").orderBy("epoch", "bucket")) - F.col("in_bucket"))
     inner = W.partitionBy(*place).orderBy(F.shiftrightunsigned("turn", 1), "turn", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    # Without a given budget the last document goes in if that brings its source closer to its share.
-    slack = F.lit(0.0) if budget is not None else F.col("n_tokens") / 2 / F.col("weight")
     timed = (
         used.withColumn("run", F.sum("n_tokens").over(inner))
         .join(sums.select(*place, "ahead"), place)
         .withColumn("finish_time", (F.col("ahead") + F.col("run")) / F.col("weight"))
-        .where(F.col("finish_time") - slack <= F.col("budget"))
+        .where(F.col("finish_time") <= F.col("budget"))  # no source makes up for another that falls short
     )
-    mixture = timed.select("doc_id", "source", "epoch", "n_tokens", "finish_time").orderBy("finish_time", "source", "doc_id", "epoch")
-    return mixture, queues
+    return _cut(timed), queues
+
+
+def _cut(timed: DataFrame) -> DataFrame:
+    """The documents up to the budget, in the order of finish times. Tokens come
+    evenly over finish time, so its slices hold about as many each."""
+    slices = F.greatest(F.lit(1.0), F.ceil(F.col("documents") / BUCKET_ROWS))
+    at = F.floor(F.col("finish_time") / F.col("budget") * slices).cast("bigint")
+    t = materialize(timed.select("doc_id", "source", "epoch", "n_tokens", "finish_time", "budget", at.alias("slice")), "timed")
+    sums = t.groupBy("slice").agg(F.sum("n_tokens").alias("in_slice"))
+    sums = sums.withColumn("before", F.sum("in_slice").over(W.orderBy("slice")) - F.col("in_slice")).select("slice", "before")
+    order = ["finish_time", "source", "doc_id", "epoch"]
+    run = F.sum("n_tokens").over(W.partitionBy("slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    kept = t.withColumn("run", run).join(sums, "slice").where(F.col("before") + F.col("run") <= F.col("budget"))
+    return kept.select("doc_id", "source", "epoch", "n_tokens", "finish_time").orderBy(*order)
 
 
 def shares(mixture: DataFrame, queues: DataFrame) -> DataFrame:

@@ -18,13 +18,16 @@ from chartlake.operators.components import connected_components
 #: Days after which a vote counts half.
 HALF_LIFE = 180.0
 
-# Trust in a record by its status; any other status has 1.
-TRUST = {"manual_override": 4.0, "matched": 3.0, "cached_match": 2.5, "proxy_matched": 2.0}
+# Statuses of a good match; trust in a record by its status, any other of which has 1.
+GOOD = ("matched", "cached_match", "proxy_matched", "manual_override")
+TRUST = dict.fromkeys(GOOD, 3.0)
 
 
 def tight(c: Column) -> Column:
-    """Text without case and white space; null if nothing is left."""
-    return F.nullif(F.lower(F.regexp_replace(c, r"(?U)[\s\p{Z}]+", "")), F.lit(""))
+    """Text without case and white space; null if nothing is left. Case goes
+    first: the lower form of a letter may depend on where its word ends."""
+    low = F.replace(F.translate(F.lower(c), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    return F.nullif(F.regexp_replace(low, r"(?U)[\s\p{Z}]+", ""), F.lit(""))
 
 
 def video_id(c: Column) -> Column:
@@ -56,6 +59,21 @@ def duplicate_groups(records: DataFrame, key: str, links: Mapping[str, Column])
     return out.withColumn("group_id", F.coalesce("component", "__first", own)).drop(*cols, "__first", "node", "component")
 
 
+#: Decimals to which sums of votes are compared, so that their order of adding does not decide.
+DIGITS = 9
+
+
+def _long(grouped: DataFrame, key: str, fields: Mapping[str, Column], trust: Column, updated: str, group: str, half_life: float) -> DataFrame:
+    """One row per record and filled field, with the record's vote."""
+    age = F.coalesce(F.unix_micros(F.col(updated).cast("timestamp")).cast("double"), F.lit(-2e15)) / (86400e6 * half_life)
+    vote = F.greatest(F.coalesce(trust, F.lit(0.0)), F.lit(0.0)) * F.pow(F.lit(2.0), age - F.lit(20000.0 / half_life))
+    rows = F.array(
+        *[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), n.cast("string").alias("norm")) for f, n in fields.items()]
+    )
+    long = grouped.select(F.col(group).alias("__g"), F.col(key).cast("string").alias("__id"), vote.alias("__vote"), F.explode(rows).alias("x"))
+    return long.select("__g", "__id", "__vote", "x.*").where("norm is not null")
+
+
 def best_records(
     grouped: DataFrame,
     key: str,
@@ -79,15 +97,9 @@ def best_records(
     Sums are aggregated before they are shuffled, so a group of any size is
     spread over all tasks.
     """
-    age = F.coalesce(F.unix_micros(F.col(updated).cast("timestamp")).cast("double"), F.lit(-2e15)) / (86400e6 * half_life)
-    vote = F.greatest(F.coalesce(trust, F.lit(0.0)), F.lit(0.0)) * F.pow(F.lit(2.0), age - F.lit(20000.0 / half_life))
-    rows = F.array(
-        *[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), n.cast("string").alias("norm")) for f, n in fields.items()]
-    )
-    long = grouped.select(F.col(group).alias("__g"), F.col(key).cast("string").alias("__id"), vote.alias("__vote"), F.explode(rows).alias("x"))
-    long = long.select("__g", "__id", "__vote", "x.*").where("norm is not null")
+    long = _long(grouped, key, fields, trust, updated, group, half_life)
     votes = long.groupBy("__g", "field", "norm").agg(
-        F.sum("__vote").alias("votes"), F.max(F.struct("__vote", "__id", "value")).alias("best")
+        F.round(F.sum("__vote"), DIGITS).alias("votes"), F.max(F.struct("__vote", "__id", "value")).alias("best")
     )
     # max_by over (votes, normalised value): the winner of each field.
     wide = votes.groupBy("__g").agg(
@@ -99,3 +111,29 @@ def best_records(
     sizes = grouped.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("members"))
     out = sizes.join(wide, sizes["__g"].eqNullSafe(wide["__g"]), "left").select(sizes["__g"], "members", *[f"__w{i}" for i in range(len(fields))])
     return out.select(F.col("__g").alias(group), "members", *[F.col(f"__w{i}").alias(f) for i, f in enumerate(fields)])
+
+
+def strongest_members(
+    grouped: DataFrame,
+    key: str,
+    fields: Mapping[str, Column],
+    trust: Column,
+    updated: str,
+    group: str = "group_id",
+    half_life: float = HALF_LIFE,
+) -> DataFrame:
+    """``group, key, strength`` of the records that represent their group best
+    as they are: those whose filled fields have the greatest sum of votes.
+
+    A record votes with each filled field as in ``best_records``; equal sums are
+    all returned, each record once. Members of which no field is filled, or
+    whose votes are all 0, are returned only if the whole group is so; then all
+    of them are. Groups of one return their record; a null group is a group.
+    """
+    long = _long(grouped, key, fields, trust, updated, group, half_life)
+    each = grouped.select(F.col(group).alias("__g"), F.col(key).cast("string").alias("__id"), F.lit(0.0).alias("__vote"))
+    each = long.select("__g", "__id", "__vote").unionByName(each)
+    each = each.groupBy("__g", "__id").agg(F.round(F.sum("__vote"), DIGITS).alias("strength"))
+    top = each.groupBy(F.col("__g").alias("__t")).agg(F.max("strength").alias("__most"))
+    best = each.join(top, F.col("__g").eqNullSafe(F.col("__t")) & (F.col("strength") == F.col("__most")))
+    return best.select(F.col("__g").alias(group), F.col("__id").alias(key), "strength")

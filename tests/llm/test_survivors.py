@@ -50,3 +50,28 @@ def test_many_small_votes_beat_one(spark):
     rows = [("a", "v1", "A", None, 2.0, T[1], "g")] + [(f"b{i}", "v2", "b " * (1 + i % 2), None, 0.5, T[1], "g") for i in range(6)]
     got = best(spark, rows)["g"]
     assert got.video == "v2" and got.members == 7
+
+
+def test_trust_and_half_life_decide(spark):
+    rows = [("a", "v1", None, None, 2.0, T[0], "g"), ("b", "v2", None, None, 1.0, T[1], "g")]
+    df = frame(spark, rows)
+    fields = {"video": F.col("video")}
+    pick = lambda trust, half: V.best_records(df, "track_uid", fields, trust, "at", half_life=half).first().video
+    assert pick(F.col("score"), 180.0) == "v2" and pick(F.col("score"), 5000.0) == "v1" and pick(F.col("score") * F.col("score"), 730.0) == "v1"
+    most = lambda half: [r.track_uid for r in V.strongest_members(df, "track_uid", fields, F.col("score"), "at", half_life=half).collect()]
+    assert most(180.0) == ["b"] and most(5000.0) == ["a"]
+
+
+def test_strongest_members(spark):
+    rows = [
+        ("a", "v", "t", None, 1.0, T[1], "g"), ("b", "w", "u", None, 1.0, T[1], "g"), ("c", "v", None, None, 1.0, T[1], "g"), ("a", "v", "t", None, 1.0, T[1], "h"),
+        ("d", None, None, None, 1.0, T[1], "n"), ("e", None, None, None, None, None, "n"), ("f", "v", None, None, 1.0, T[1], None),
+    ]
+    got = V.strongest_members(frame(spark, rows), "track_uid", {"video": F.col("video"), "title": F.col("title")}, F.col("score"), "at")
+    assert sorted((str(r.group_id), r.track_uid) for r in got.collect()) == [("None", "f"), ("g", "a"), ("g", "b"), ("h", "a"), ("n", "d"), ("n", "e")]
+    assert V.strongest_members(frame(spark, []), "track_uid", {"video": F.col("video")}, F.col("score"), "at").count() == 0
+
+
+def test_case_of_word_ends(spark):
+    df = spark.createDataFrame([("νύχτας δρόμος",), ("ΝΎΧΤΑΣ  ΔΡΌΜΟΣ",), ("Νύχτας Δρόμος",)], "x string")
+    assert len({r[0] for r in df.select(V.tight(F.col("x"))).collect()}) == 1

@@ -25,3 +25,23 @@ def test_pairs_without_a_common_band(spark):
     rows = [(10 * i + j, s, f"song title {i}", x, *[None] * 6, 1) for i, pair in enumerate(missed) for j, (s, x) in enumerate(zip(("apple", "melon"), pair))]
     got = {(r.id_a, r.id_b) for r in M.match_records(spark.createDataFrame(rows, SCHEMA), "result_id", "service", threshold=0.0).collect()}
     assert {(10 * i, 10 * i + 1) for i in range(len(missed))} <= got
+
+
+def test_long_names():
+    rnd = random.Random(5)
+    for n in (64, 90, 500):
+        a = "".join(rnd.choice("abcde ") for _ in range(n))
+        swapped = a[:10] + a[11] + a[10] + a[12:]
+        for b, want in ((a, 0), (swapped, int(swapped != a)), (a[:20] + a[21:], 1), ("x" + a, 1), (a[:-1], 1), (a[:30] + "XYZ" + a[33:], 3)):
+            assert M.edits(a, b) == want, (n, want)
+    long = "word " * 200
+    assert M.closeness([long + "end"], [long + "emd"])[1] == 1.0
+
+
+def test_classes_hold_all_pairs(spark):
+    rows = [(i, s, "song title", "some artist", *[None] * 6, 1) for i, s in enumerate(("apple", "melon", "apple", "melon"))] + [(9, "apple", "song titel", "some artist", *[None] * 6, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    links, members = M.match_classes(df, "result_id", "service")
+    assert links.count() <= 3 and members.count() == 5
+    pairs = {(r.id_a, r.id_b) for r in M.match_records(df, "result_id", "service").collect()}
+    assert {(0, 1), (0, 3), (1, 2), (2, 3)} <= pairs
