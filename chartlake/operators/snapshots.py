@@ -1,8 +1,9 @@
 """What changed between consecutive full snapshots.
 
 Keys and values of every row are reduced to hashes. The compact arrays are
-bucketed by series, a large series also by key hash; so all snapshots of a key
-meet in one task with the list of its series' snapshots. There they are sorted
+bucketed by series and key hash, a series into as many buckets as its rows
+need; so all snapshots of a key meet in one task with the list of its series'
+snapshots. The number of tasks follows from the number of rows. There they are sorted
 in numpy and compared by ``searchsorted`` set differences. Full keys are looked
 up only for the keys that differ.
 """
@@ -22,8 +23,10 @@ KINDS = ("added", "removed", "changed")
 BATCH = 1 << 16
 #: Rows that a task sorts at once; more are split into buckets by key.
 TASK_ROWS = 1 << 19
-#: Rows of a series that go to one task; a larger series is split by key.
-HOT_ROWS = 1_000_000
+#: Rows of a bucket of a series; a larger series has several, by key.
+HOT_ROWS = 1 << 16
+#: Rows of a task on average.
+PART_ROWS = 1 << 20
 
 
 def row_hash(cols: Sequence[Column]) -> Column:
@@ -133,7 +136,8 @@ def snapshot_changes(
     A series of more than ``hot_rows`` rows is split over tasks by key hash. Of
     such series there are at most as many as ``hot_rows`` goes into all rows, so
     their list is broadcast. The list of all series is broadcast if it has at
-    most ``broadcast_rows`` rows, else joined by a shuffle.
+    most ``broadcast_rows`` rows, else joined by a shuffle. Full keys come back
+    by a sort-merge join, which spills where it must.
     """
     src = rows.select(
         row_hash([F.col(c) for c in series]).alias("__s"),
@@ -149,12 +153,14 @@ def snapshot_changes(
     both = [row_hash(parts + keys).alias("__k"), F.hash(*parts, *keys).alias("__k2")]
 
     titles = materialize(src.groupBy("__s", *parts).agg(F.count("*").alias("__n")), "series")
+    total = titles.agg(F.sum("__n")).first()[0] or 0
+    parts_n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // PART_ROWS))
     hot = titles.where(F.col("__n") > hot_rows).select("__s", F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts"))
     coded = src.select("__s", "__d", *both, row_hash(vals).alias("__value"), code(F.col("__p")).cast("int").alias("__code")).where("__code is not null")
     pack = F.shiftleft(F.col("__k2").cast("bigint"), 32).bitwiseOR(F.col("__code").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
     columns = ["__s", "__k", pack.alias("__packed"), "__d", "__value"]
     if hot.limit(1).count() == 0:
-        compact = coded.select(*columns, F.lit(True).alias("__real")).repartition("__s")
+        compact = coded.select(*columns, F.lit(True).alias("__real")).repartition(parts_n, "__s")
     else:
         salted = coded.join(F.broadcast(hot), "__s", "left").withColumn("__salt", F.coalesce(F.pmod("__k", "__salts"), F.lit(0)))
         # Each part of a hot series gets the list of its snapshots.
@@ -162,11 +168,11 @@ def snapshot_changes(
         lists = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__salts").cast("bigint") - 1)))
         lists = lists.withColumns({"__k": F.lit(0).cast("bigint"), "__k2": F.lit(0), "__value": F.lit(0).cast("bigint")})
         every = salted.select(*columns, F.lit(True).alias("__real"), "__salt").unionByName(lists.select(*columns, F.lit(False).alias("__real"), "__salt"))
-        compact = every.repartition("__s", "__salt").drop("__salt")
+        compact = every.repartition(parts_n, "__s", "__salt").drop("__salt")
     found = map_arrow(compact, _compare, "__k bigint, __k2 int, __code int, __kind tinyint")
     names = src.select(*both, "__s", *keys).distinct()
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    named = found.join(names.hint("shuffle_hash"), ["__k", "__k2"]).join(broadcast_if_small(titles.drop("__n"), broadcast_rows), "__s")
+    named = found.join(names.hint("merge"), ["__k", "__k2"]).join(broadcast_if_small(titles.drop("__n"), broadcast_rows), "__s")
     return named.select(
         *[F.col(f"__s{i}").alias(c) for i, c in enumerate(series)],
         label(F.col("__code")).alias(period),
