@@ -21,12 +21,10 @@ from chartlake.runtime import BROADCAST_ROWS, broadcast_if_small, map_arrow, mat
 
 KINDS = ("added", "removed", "changed")
 BATCH = 1 << 16
-#: Rows that a task sorts at once; more are split into buckets by key.
+#: Rows of a task on average, and that it sorts at once; more are split into buckets by key.
 TASK_ROWS = 1 << 19
 #: Rows of a bucket of a series; a larger series has several, by key.
 HOT_ROWS = 1 << 16
-#: Rows of a task on average.
-PART_ROWS = 1 << 20
 
 
 def row_hash(cols: Sequence[Column]) -> Column:
@@ -154,7 +152,7 @@ def snapshot_changes(
 
     titles = materialize(src.groupBy("__s", *parts).agg(F.count("*").alias("__n")), "series")
     total = titles.agg(F.sum("__n")).first()[0] or 0
-    parts_n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // PART_ROWS))
+    parts_n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_ROWS))
     hot = titles.where(F.col("__n") > hot_rows).select("__s", F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts"))
     coded = src.select("__s", "__d", *both, row_hash(vals).alias("__value"), code(F.col("__p")).cast("int").alias("__code")).where("__code is not null")
     pack = F.shiftleft(F.col("__k2").cast("bigint"), 32).bitwiseOR(F.col("__code").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
