@@ -22,7 +22,12 @@ def sql(sf, text, *tables):
     return con.sql(text).fetchall()
 
 
-def test_identity_groups_of_all_parts(spark, sf):
+def test_identity_groups_of_all_tracks(spark, sf):
+    from pyspark.sql import functions as F
+
+    from chartlake.functions.keys import linked_video
+    from chartlake.functions.text import identity_key
+
     parent = {}
 
     def root(x):
@@ -31,13 +36,37 @@ def test_identity_groups_of_all_parts(spark, sf):
             x = parent[x]
         return x
 
-    parts = sql(sf, "select substr(p_name, 1, 6), p_brand from part", "part")
-    for name, brand in parts:
-        parent[root(("v", name))] = root(("i", brand))
-    want = Counter(Counter(root(("v", name)) for name, _ in parts).values())
-    got = rows(entry.queries()["identity_groups"](spark, sf), "n", "groups")
-    assert got == sorted(want.items(), key=str)
-    assert sum(n * k for n, k in got) == len(parts)
+    t = spark.read.parquet(f"{sf}/tracks.parquet")
+    t = t.select("track_uid", linked_video(F.col("canonical_yt_video_id")), identity_key(F.col("yt_title"), F.col("yt_artist"), F.lit(""))).collect()
+    for uid, video, identity in t:
+        for k in (("v", video) if video else None, ("i", identity) if identity.startswith("meta|") else None):
+            if k:
+                parent[root(k)] = root(uid)
+    groups = {}
+    for uid, _, _ in t:
+        groups.setdefault(root(uid), []).append(uid)
+    got = rows(entry.queries()["identity_groups"](spark, sf), "least", "n")
+    assert got == sorted(((min(g), len(g)) for g in groups.values()), key=str)
+    assert sum(n for _, n in got) == len(t) and any(n > 1 for _, n in got)
+
+
+def test_a_delivery_that_drops_a_song(spark, tmp_path):
+    from datetime import datetime
+
+    from chartlake.plans import charts
+
+    at = [datetime(2026, 1, d) for d in (1, 2, 3)]
+    make = lambda period, song, rank, d, service="Apple": (service, "J", "v", period, song, rank, at[d])
+    facts = [
+        make("2026-01-01", "a", 1, 0), make("2026-01-01", "b", 2, 0), make("20260101", "a", 3, 2, " apple "), make("2026.01.01", "a", 2, 2), make("2026-01-01", " ", 9, 2),
+        make("2026-W01", "a", 1, 0), make("2025-12-29", "b", 1, 1), make("2026-01-02", "a", None, 1),
+    ]
+    spark.createDataFrame(facts, "service string, job_name string, source_variant string, reference_period string, song_id string, rank_order int, delivered_at timestamp").write.parquet(f"{tmp_path}/playlist_order.parquet")
+    got = rows(charts.chart(spark, str(tmp_path)), "period", "song_id", "rank_order")
+    assert got == [("2025-12-29", "b", 1), ("2026-01-01", "a", 2), ("2026-01-02", "a", None), ("2026-W01", "a", 1)]
+    before = rows(charts.previous_rank(spark, str(tmp_path)), "period", "song_id", "previous_rank")
+    assert before == [("2025-12-29", "b", None), ("2026-01-01", "a", 1), ("2026-01-02", "a", 2), ("2026-W01", "a", None)]
+    assert rows(charts.new_entries(spark, str(tmp_path)), "period", "song_id") == [("2026-W01", "a")]  # a week stands at its Monday, after that day
 
 
 def test_json_of_all_events(spark, sf):
