@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -361,20 +360,28 @@ def labelled(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS,
     return [r.text for r in rows], np.array([r.share > 0.5 for r in rows], bool)
 
 
-_fitted: dict[str, Model] = {}
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
+    """The model of the labelled documents (see ``labelled`` and ``train``).
+    Several queries share one fit by ``save`` and ``load``."""
+    return train(*labelled(docs, labels, max_docs), spark=docs.sparkSession)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """The model of the labelled documents (see ``labelled`` and ``train``). The
-    same sample is fitted once: the model is kept under the sample's hash."""
-    texts, y = labelled(docs, labels, max_docs)
-    h = sha256(y.tobytes())
-    for t in texts:
-        h.update(t.encode("utf-8", "surrogatepass") + b"\0")
-    if h.hexdigest() not in _fitted:
-        _fitted.clear()  # one model at a time
-        _fitted[h.hexdigest()] = train(texts, y, spark=docs.sparkSession)
-    return _fitted[h.hexdigest()]
+def save(model: Model, spark: SparkSession, path: str) -> None:
+    """Write a model as a table: a row per weight, and one of its line."""
+    used = np.flatnonzero(model.weights)
+    rows = [(-1, model.slope, model.bias), *((int(i), float(model.weights[i]), 0.0) for i in used)]
+    spark.createDataFrame(rows, "gram int, weight double, bias double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    """The model that ``save`` wrote; at most a row per hashed gram is read."""
+    weights, slope, bias = np.zeros(1 << BITS, np.float32), 1.0, 0.0
+    for r in spark.read.parquet(path).collect():
+        if r.gram < 0:
+            slope, bias = r.weight, r.bias
+        else:
+            weights[r.gram] = r.weight
+    return Model(weights, slope, bias)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", output: str = "abuse") -> DataFrame:

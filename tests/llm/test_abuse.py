@@ -76,3 +76,16 @@ def test_frames(spark):
 @pytest.mark.parametrize("text", ["x", "ab", "가"])
 def test_short(text):
     assert np.isfinite(A.train(*corpus(60, 4)).probability(pa.array([text]))).all()
+
+
+def test_folds_in_tasks_and_saved_models(spark, tmp_path):
+    bad, good = ["you utter zorgling", "go away zorgling scum"], ["a fine song of rain", "the chart of today", "rain and comets"]
+    texts = [f"{t} {i}" for i in range(12) for t in (*bad, *good)]
+    y = np.array([t.split()[0] in ("you", "go") for t in texts])
+    here, there = A.train(texts, y), A.train(texts, y, spark=spark)
+    assert np.array_equal(here.weights, there.weights) and (here.slope, here.bias) == (there.slope, there.bias)
+    A.save(here, spark, str(tmp_path / "model"))
+    back = A.load(spark, str(tmp_path / "model"))
+    assert np.array_equal(back.weights, here.weights) and (back.slope, back.bias) == (here.slope, here.bias)
+    few = A.labelled(spark.createDataFrame([(i, "x" * 10) for i in range(9)], "doc_id long, text string"), spark.createDataFrame([(i, "a", i % 2) for i in range(9)], "doc_id long, annotator string, toxic int"), max_chars=45)
+    assert len(few[0]) == 4
