@@ -369,7 +369,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> M
 def save(model: Model, spark: SparkSession, path: str) -> None:
     """Write a model as a table: a row per weight, and one of its line."""
     used = np.flatnonzero(model.weights)
-    rows = [(-1, model.slope, model.bias), *((int(i), float(model.weights[i]), 0.0) for i in used)]
+    rows = [(-1, float(model.slope), float(model.bias)), *((int(i), float(model.weights[i]), 0.0) for i in used)]
     spark.createDataFrame(rows, "gram int, weight double, bias double").coalesce(1).write.mode("overwrite").parquet(path)
 
 
