@@ -27,6 +27,13 @@ def report_rows(facts: DataFrame, dates: DataFrame, bindings: DataFrame, tracks:
     drop out; metadata and jobs are left-joined. ``periods`` has the series and
     periods of ``facts`` where these are at hand without reducing all facts."""
     inforce = effective_periods(facts if periods is None else periods, dates, SERIES)
+    songs = song_entities(bindings, tracks, metadata)
+    j = jobs.select("job_name", "hype_group", F.col("hype_weight").alias("weight"))
+    return facts.join(inforce, [*SERIES, "period"]).join(songs, ["service", "song_id"]).join(j, "job_name", "left")
+
+
+def song_entities(bindings: DataFrame, tracks: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Bound songs with the video, names and identity of their entity."""
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
     t = tracks.select("track_uid", linked_video(F.col("canonical_yt_video_id")).alias("video_id"), "yt_title", "yt_artist", "yt_album").where("video_id is not null")
     names = metadata.select(
@@ -34,9 +41,7 @@ def report_rows(facts: DataFrame, dates: DataFrame, bindings: DataFrame, tracks:
         *[F.coalesce(filled(f"{f}_ko"), F.col(f"{f}_en")).alias(f) for f in ("title", "artist", "album")],
     )
     songs = bindings.select("service", "song_id", "track_uid").join(t, "track_uid").join(names, ["service", "song_id"], "left")
-    songs = songs.withColumn("identity", identity_key(*[F.coalesce(filled(c), F.col(f"yt_{c}")) for c in ("title", "artist")], F.col("video_id")))
-    j = jobs.select("job_name", "hype_group", F.col("hype_weight").alias("weight"))
-    return facts.join(inforce, [*SERIES, "period"]).join(songs, ["service", "song_id"]).join(j, "job_name", "left")
+    return songs.withColumn("identity", identity_key(*[F.coalesce(filled(c), F.col(f"yt_{c}")) for c in ("title", "artist")], F.col("video_id")))
 
 
 def grouped_rows(rows: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ def grouped_rows(rows: DataFrame) -> DataFrame:
     """
     rank = F.coalesce("rank_order", F.lit(NO_RANK))
     turn = F.struct("service", "job_name", "source_variant", rank.alias("rank"), "song_id")
-    best = F.struct(rank.alias("rank"), _priority().alias("prio"), turn.alias("turn"))
+    best = F.struct(rank.alias("rank"), priority().alias("prio"), turn.alias("turn"))
     rows = materialize(rows, "rows")  # used by the groups and by the result
     seen = rows.groupBy("chart_date", "video_id", "identity").agg(F.min(turn).alias("turn"), F.min(best).alias("best"))
     videos = seen.groupBy("chart_date", "video_id").agg(F.min_by("identity", "turn").alias("identity"), F.min("best").alias("best"))
@@ -69,7 +74,7 @@ def grouped_rows(rows: DataFrame) -> DataFrame:
     return out.withColumn("video_id", F.coalesce("__main", "video_id")).drop("__main")
 
 
-def _priority() -> Column:
+def priority() -> Column:
     return F.coalesce(*[F.when(F.col("service") == s, i) for i, s in enumerate(SERVICES)], F.lit(len(SERVICES)))
 
 
@@ -85,7 +90,18 @@ def hype_report(rows: DataFrame, groups: Sequence[str], key: str = "video_id", t
     jobs without a group give names only. Ties in the index go by the groups'
     ranks, title and key. ``top`` cuts each date; without it all rows stay.
     """
-    prio = _priority()
+    out = entity_sums(rows, groups, key)
+    total = sum((F.col(f"__{g}") for g in groups), F.lit(0.0))
+    out = out.withColumn("__total", total).where("__total > 0").withColumn("hype_index", F.round("__total", 2))
+    out = out.withColumn("hype_rank", F.row_number().over(W.partitionBy("chart_date").orderBy(*report_order(groups, key))))
+    if top is not None:
+        out = out.where(F.col("hype_rank") <= top)
+    return out.drop("__total", *[f"__{g}" for g in groups])
+
+
+def entity_sums(rows: DataFrame, groups: Sequence[str], key: str) -> DataFrame:
+    """Per date and entity: rank and part of each group, names, entries."""
+    prio = priority()
     rank = F.coalesce("rank_order", F.lit(NO_RANK))
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
     part = rank_score(F.col("rank_order")) * F.coalesce("weight", F.lit(0.0))
@@ -96,17 +112,14 @@ def hype_report(rows: DataFrame, groups: Sequence[str], key: str = "video_id", t
         aggs += [F.min(F.when(at, F.col("rank_order"))).alias(f"{g}_rank"), F.coalesce(F.max(F.when(at, F.col("__part"))), F.lit(0.0)).alias(f"__{g}")]
     best = lambda c, y: F.coalesce(F.min_by(filled(c), F.when(filled(c).isNotNull(), F.col("__order"))), F.max(filled(y)))
     art = F.min_by(filled("artwork_url"), F.when(filled("artwork_url").isNotNull(), F.struct(prio, F.col("__order"))))
-    out = r.groupBy("chart_date", key).agg(
+    return r.groupBy("chart_date", key).agg(
         *aggs, best("title", "yt_title").alias("title"), best("artist", "yt_artist").alias("artist"), best("album", "yt_album").alias("album"), art.alias("artwork_url"),
         F.count("*").alias("entries"),
     )
-    total = sum((F.col(f"__{g}") for g in groups), F.lit(0.0))
-    out = out.withColumn("__total", total).where("__total > 0").withColumn("hype_index", F.round("__total", 2))
-    order = [F.col("hype_index").desc(), *[F.coalesce(f"{g}_rank", F.lit(NO_RANK)) for g in groups], F.col("title"), F.col(key)]
-    out = out.withColumn("hype_rank", F.row_number().over(W.partitionBy("chart_date").orderBy(*order)))
-    if top is not None:
-        out = out.where(F.col("hype_rank") <= top)
-    return out.drop("__total", *[f"__{g}" for g in groups])
+
+
+def report_order(groups: Sequence[str], key: str) -> list[Column]:
+    return [F.col("hype_index").desc(), *[F.coalesce(f"{g}_rank", F.lit(NO_RANK)) for g in groups], F.col("title"), F.col(key)]
 
 
 def wave_flags(report: DataFrame, present: str = "apple_rank", absent: str = "melon_rank") -> DataFrame:

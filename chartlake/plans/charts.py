@@ -12,7 +12,7 @@ from chartlake.config import due_jobs, weighted_jobs
 from chartlake.functions import keys as K
 from chartlake.functions import periods as P
 from chartlake.functions import scoring as S
-from chartlake.operators import asof, history, lookup, merge, quality, ranking, report
+from chartlake.operators import asof, history, inforce, lookup, merge, quality, ranking, report
 from chartlake.plans.problems import _PERIOD, _TRIM
 from chartlake.plans.sqltext import identity_sql, video_sql
 from chartlake.runtime import materialize, table
@@ -41,12 +41,18 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
     return _heads(spark, d).groupBy(*SERIES, "period").agg(F.max("delivered_at").alias("delivered_at")).where("period is not null")
 
 
+def _last_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries that are the snapshot of their period."""
+    # A period's deliveries are few; only they meet in a window, never their rows.
+    heads = _heads(spark, d).where("period is not null").withColumn("last", F.max("delivered_at").over(W.partitionBy(*SERIES, "period")))
+    return heads.where(F.col("delivered_at").eqNullSafe(F.col("last")))
+
+
 def chart(spark: SparkSession, d: str) -> DataFrame:
     """One rank per series, period and song: the latest delivery of a period is
     its snapshot as a whole. Of a song's ranks in it the least counts."""
-    # A period's deliveries are few; only they meet in a window, never their rows.
-    heads = _heads(spark, d).where("period is not null").withColumn("last", F.max("delivered_at").over(W.partitionBy(*SERIES, "period")))
-    heads = heads.where(F.col("delivered_at").eqNullSafe(F.col("last"))).select(*[c for c in heads.columns if c.startswith("raw_")], *[F.col(c).alias(f"__{c}") for c in (*SERIES, "period")])
+    heads = _last_heads(spark, d)
+    heads = heads.select(*[c for c in heads.columns if c.startswith("raw_")], *[F.col(c).alias(f"__{c}") for c in (*SERIES, "period")])
     po = table(spark, d, "playlist_order").select("service", "job_name", "source_variant", "reference_period", "delivered_at", P.trimmed(F.col("song_id")).alias("song_id"), "rank_order")
     same = reduce(lambda a, b: a & b, [po[c].eqNullSafe(heads[f"raw_{c}"]) for c in ("service", "job_name", "source_variant", "reference_period", "delivered_at")])
     rows = po.where("song_id <> ''").join(heads, same)
@@ -120,6 +126,14 @@ def effective_period_asof(spark, d):
     return asof.effective_periods(snapshots(spark, d), dates(spark, d), SERIES)
 
 
+def _spans(spark, d):
+    bind, tracks, names, jobs = dims(spark, d)
+    heads = materialize(_last_heads(spark, d).select(*inforce.HEAD, *SERIES, "period"), "deliveries")
+    when = materialize(asof.effective_periods(heads, dates(spark, d), SERIES), "effective")
+    po = table(spark, d, "playlist_order").select(*[F.col(c.removeprefix("raw_")).alias(c) for c in inforce.HEAD], P.trimmed(F.col("song_id")).alias("song_id"), "rank_order")
+    return inforce.spans(po.where("song_id <> ''"), heads, when, bind, tracks, names, jobs)
+
+
 def _rows(spark, d):
     bind, tracks, names, jobs = dims(spark, d)
     return report.grouped_rows(report.report_rows(chart(spark, d), dates(spark, d), bind, tracks, names, jobs, snapshots(spark, d)))
@@ -240,8 +254,7 @@ def history_compact(spark, d):
 
 def history_first_nonempty(spark, d):
     """First filled English title of each entity, newest first."""
-    r = _rows(spark, d).select("chart_date", "video_id", F.col("yt_title").alias("name"), F.col("song_id").alias("title"), F.coalesce("rank_order", F.lit(9999)).alias("hype_rank"))
-    return history.track_fields(r, ["name"]).where("name is not null")
+    return inforce.newest_names(_spans(spark, d))
 
 
 def history_prune(spark, d):
