@@ -8,6 +8,7 @@ have a place in it, so that names are chosen by numbers and looked up at the end
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,10 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartlake.operators.report import NO_RANK, SERIES, priority, song_entities
+from chartlake.functions.scoring import rank_score
+from chartlake.operators.report import NO_RANK, SERIES, priority, report_order, song_entities
 from chartlake.runtime import broadcast_if_small, materialize
 
 HEAD = ("raw_service", "raw_job_name", "raw_source_variant", "raw_reference_period", "raw_delivered_at")
+#: Room of the last part of a packed order; ranks are 32 bits.
+ROOM = 1 << 30
 
 
 @dataclass
@@ -106,6 +110,67 @@ def _rank() -> Column:
     return F.coalesce("rank_order", F.lit(NO_RANK))
 
 
+def _part() -> Column:
+    return rank_score(F.col("rank_order")) * F.coalesce("weight", F.lit(0.0))
+
+
+def _unfolded(s: Spans) -> DataFrame:
+    """Per date, video and series: least rank, greatest part, entries, and the
+    places of the songs that give names. Unfolded last, in the same task."""
+    r = ranked_songs(s).withColumns({"__rank": _rank().cast("bigint"), "__part": _part()})
+    turn = F.col("__rank") * ROOM + F.col("place")
+    # Of the artists, those of rows with a title come first.
+    second = F.when(F.col("has_title"), F.lit(0)).otherwise(F.lit(1)).cast("bigint") * (1 << 62)
+    pick = lambda when, order: F.when(when, order)
+    g = r.groupBy("video_id", "sid", "first", "last", "hype_group").agg(
+        F.min("rank_order").alias("rank_order"), F.max("__part").alias("__part"), F.count("*").alias("n"),
+        F.min_by("place", pick(F.col("has_title"), turn)).alias("t_place"), F.min(pick(F.col("has_title"), F.col("__rank"))).alias("t_rank"),
+        F.min_by("place", pick(F.col("has_artist"), turn + second)).alias("a_place"),
+        F.min(pick(F.col("has_artist"), F.col("__rank") * ROOM + F.col("sid") + second)).alias("a_turn"),
+        F.max("n_yt_title").alias("n_yt_title"), F.max("n_yt_artist").alias("n_yt_artist"),
+    )
+    g = g.withColumn("t_turn", F.col("t_rank") * ROOM + F.col("sid"))
+    return g.withColumn("day", F.explode(F.sequence("first", "last")))
+
+
+def _sums(groups: Sequence[str]) -> list[Column]:
+    out = []
+    for g in groups:
+        at = F.col("hype_group") == g
+        out += [F.min(F.when(at, F.col("rank_order"))).alias(f"{g}_rank"), F.coalesce(F.max(F.when(at, F.col("__part"))), F.lit(0.0)).alias(f"__{g}")]
+    return out
+
+
+def _total(groups: Sequence[str]) -> Column:
+    return sum((F.col(f"__{g}") for g in groups), F.lit(0.0))
+
+
+def hype_report(s: Spans, groups: Sequence[str], top: int) -> DataFrame:
+    """``report.hype_report`` of the first ``top`` places of each date, with
+    ``title``, ``artist`` and ``entries``."""
+    from chartlake.operators import report
+
+    out = _unfolded(s).groupBy("day", "video_id").agg(
+        *_sums(groups), F.min_by("t_place", "t_turn").alias("t_place"), F.min_by("a_place", "a_turn").alias("a_place"),
+        F.max("n_yt_title").alias("n_yt_title"), F.max("n_yt_artist").alias("n_yt_artist"), F.sum("n").alias("entries"),
+    )
+    out = out.withColumns({"title": F.lit(None).cast("string"), "artist": F.lit(None).cast("string")})
+    if (tied := tied_rows(s)) is not None:
+        t = report.entity_sums(report.grouped_rows(tied), groups, "video_id").join(F.broadcast(s.days), "chart_date")
+        none = {c: F.lit(None).cast("int") for c in ("t_place", "a_place", "n_yt_title", "n_yt_artist")}
+        out = out.unionByName(t.withColumns(none).select(*out.columns))
+    out = out.withColumn("__total", _total(groups)).where("__total > 0").withColumn("hype_index", F.round("__total", 2)).drop("__total", *[f"__{g}" for g in groups])
+    order = report_order(groups, "video_id")
+    # Names break ties only: whoever is beyond the last place without them is so with them.
+    out = out.withColumn("__r", F.rank().over(W.partitionBy("day").orderBy(*order[:-2]))).where(F.col("__r") <= top).drop("__r")
+    names = broadcast_if_small(s.videos)
+    out = out.join(names, "video_id", "left")
+    name = lambda f, c: F.coalesce(f, F.try_element_at("by_place", F.col(f"{c}_place"))[f], F.try_element_at(f"yt_{f}s", F.col(f"n_yt_{f}")))
+    out = out.select("day", "video_id", *[f"{g}_rank" for g in groups], name("title", "t").alias("title"), name("artist", "a").alias("artist"), "entries", "hype_index")
+    out = out.withColumn("hype_rank", F.row_number().over(W.partitionBy("day").orderBy(*order))).where(F.col("hype_rank") <= top)
+    return out.join(F.broadcast(s.days), "day").drop("day")
+
+
 def newest_names(s: Spans) -> DataFrame:
     """``video_id, name``: the first filled title of each video, newest date,
     best rank and least song first. An entry counts at its last date."""

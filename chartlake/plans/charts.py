@@ -140,7 +140,7 @@ def _rows(spark, d):
 
 
 def _report(spark, d, top=200):
-    return report.hype_report(_rows(spark, d), GROUPS, top=top)
+    return inforce.hype_report(_spans(spark, d), GROUPS, top)
 
 
 def hype_report_top(spark, d):
@@ -165,7 +165,7 @@ def report_names(spark, d):
 
 
 def wave_flags(spark, d):
-    r = report.wave_flags(_report(spark, d, top=None))
+    r = report.wave_flags(report.hype_report(_rows(spark, d), GROUPS, top=None))
     return r.select("chart_date", "video_id", "wave", "new_wave").where("wave")
 
 
