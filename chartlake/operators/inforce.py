@@ -171,6 +171,21 @@ def hype_report(s: Spans, groups: Sequence[str], top: int) -> DataFrame:
     return out.join(F.broadcast(s.days), "day").drop("day")
 
 
+def components(s: Spans) -> DataFrame:
+    """Best rank and weighted score of each entity, date and group."""
+    from chartlake.operators import report
+
+    def summed(r: DataFrame, n: Column, day: str) -> DataFrame:
+        return r.groupBy(day, "video_id", "hype_group").agg(F.min("rank_order").alias("best_rank"), F.round(F.max("__part"), 6).alias("best_score"), n.alias("n"))
+
+    part = rank_score(F.col("rank_order")) * F.col("weight")
+    out = summed(_unfolded(s).where("hype_group is not null"), F.sum("n"), "day").join(F.broadcast(s.days), "day").drop("day")
+    if (tied := tied_rows(s)) is not None:
+        t = summed(report.grouped_rows(tied).where("hype_group is not null").withColumn("__part", part), F.count("*"), "chart_date")
+        out = out.unionByName(t.select(*out.columns))
+    return out.select("chart_date", "video_id", "hype_group", "best_rank", "best_score", "n")
+
+
 def newest_names(s: Spans) -> DataFrame:
     """``video_id, name``: the first filled title of each video, newest date,
     best rank and least song first. An entry counts at its last date."""

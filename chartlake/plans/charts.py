@@ -150,9 +150,7 @@ def hype_report_top(spark, d):
 
 def hype_components(spark, d):
     """Best rank and weighted score of each entity, date and group."""
-    part = S.rank_score(F.col("rank_order")) * F.col("weight")
-    r = _rows(spark, d).where("hype_group is not null").groupBy("chart_date", "video_id", "hype_group")
-    return r.agg(F.min("rank_order").alias("best_rank"), F.round(F.max(part), 6).alias("best_score"), F.count("*").alias("n"))
+    return inforce.components(_spans(spark, d))
 
 
 def report_names(spark, d):

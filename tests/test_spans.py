@@ -69,6 +69,17 @@ def test_report(both):
         assert got and got == rows(report.hype_report(old, GROUPS, top=top), *cols)
 
 
+def test_components(both):
+    from pyspark.sql import functions as F
+
+    from chartlake.functions.scoring import rank_score
+
+    old, s = both
+    r = old.where("hype_group is not null").groupBy("chart_date", "video_id", "hype_group")
+    r = r.agg(F.min("rank_order").alias("best_rank"), F.round(F.max(rank_score(F.col("rank_order")) * F.col("weight")), 6).alias("best_score"), F.count("*").alias("n"))
+    assert rows(inforce.components(s), *r.columns) == rows(r, *r.columns) != []
+
+
 def test_rows_in_force_are_not_written(spark, sf):
     held = spark.read.parquet(f"{sf}/playlist_order.parquet").count()
     for name in NOT_WRITTEN:
@@ -78,4 +89,4 @@ def test_rows_in_force_are_not_written(spark, sf):
         assert written and max(written) <= held, name
 
 
-NOT_WRITTEN = ("history_first_nonempty", "history_round_trip")
+NOT_WRITTEN = ("history_first_nonempty", "history_round_trip", "hype_components")
