@@ -186,6 +186,24 @@ def components(s: Spans) -> DataFrame:
     return out.select("chart_date", "video_id", "hype_group", "best_rank", "best_score", "n")
 
 
+def waves(s: Spans, groups: Sequence[str], present: str = "apple_rank", absent: str = "melon_rank") -> DataFrame:
+    """``report.wave_flags`` of the whole report, rows with a wave only."""
+    from chartlake.operators import report
+
+    out = _unfolded(s).groupBy("day", "video_id").agg(*_sums(groups)).where(_total(groups) > 0)
+    if (tied := tied_rows(s)) is not None:
+        t = report.grouped_rows(tied).withColumn("__part", _part()).groupBy("chart_date", "video_id").agg(*_sums(groups)).where(_total(groups) > 0)
+        t = t.join(F.broadcast(s.days), "chart_date").drop("chart_date")
+        out = out.unionByName(t.select(*out.columns))
+    wave = F.col(present).isNotNull() & F.col(absent).isNull()
+    out = out.select("video_id", "day", wave.alias("wave")).withColumn("prev", F.lag("day").over(W.partitionBy("video_id").orderBy("day")))
+    out = materialize(out, "waves")
+    # Dates without a report are passed over.
+    days = out.select("day").distinct().withColumn("before", F.lag("day").over(W.orderBy("day"))).join(s.days, "day")
+    out = out.where("wave").join(F.broadcast(days), "day")
+    return out.select("chart_date", "video_id", "wave", (~(F.col("prev").isNotNull() & F.col("prev").eqNullSafe(F.col("before")))).alias("new_wave"))
+
+
 def newest_names(s: Spans) -> DataFrame:
     """``video_id, name``: the first filled title of each video, newest date,
     best rank and least song first. An entry counts at its last date."""

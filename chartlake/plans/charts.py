@@ -134,11 +134,6 @@ def _spans(spark, d):
     return inforce.spans(po.where("song_id <> ''"), heads, when, bind, tracks, names, jobs)
 
 
-def _rows(spark, d):
-    bind, tracks, names, jobs = dims(spark, d)
-    return report.grouped_rows(report.report_rows(chart(spark, d), dates(spark, d), bind, tracks, names, jobs, snapshots(spark, d)))
-
-
 def _report(spark, d, top=200):
     return inforce.hype_report(_spans(spark, d), GROUPS, top)
 
@@ -163,8 +158,7 @@ def report_names(spark, d):
 
 
 def wave_flags(spark, d):
-    r = report.wave_flags(report.hype_report(_rows(spark, d), GROUPS, top=None))
-    return r.select("chart_date", "video_id", "wave", "new_wave").where("wave")
+    return inforce.waves(_spans(spark, d), GROUPS)
 
 
 def report_digest(spark, d):

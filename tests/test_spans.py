@@ -80,6 +80,12 @@ def test_components(both):
     assert rows(inforce.components(s), *r.columns) == rows(r, *r.columns) != []
 
 
+def test_waves(both):
+    old, s = both
+    cols = ("chart_date", "video_id", "wave", "new_wave")
+    assert rows(inforce.waves(s, GROUPS), *cols) == rows(report.wave_flags(report.hype_report(old, GROUPS, top=None)).where("wave"), *cols) != []
+
+
 def test_rows_in_force_are_not_written(spark, sf):
     held = spark.read.parquet(f"{sf}/playlist_order.parquet").count()
     for name in NOT_WRITTEN:
