@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartlake.functions.periods import let
+
 # The letters that normalised text keeps, by code points: digits, Latin letters, Hangul
 # syllables and the four blocks of Hangul letters, kana, and Han characters.
 KEPT_RANGES = ((0x30, 0x39), (0x61, 0x7A), (0xAC00, 0xD7A3), (0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xD7B0, 0xD7FF), (0x3040, 0x30FF), (0x4E00, 0x9FFF))
@@ -91,6 +93,10 @@ def strip_groups(c: Column) -> Column:
 
 
 def _unrated(t: Column) -> Column:
+    return F.when(t.rlike(rf"(?i){RATING}"), _relabelled(t)).otherwise(_squeeze(t))
+
+
+def _relabelled(t: Column) -> Column:
     t = F.regexp_replace(t, rf"(?i)\s*[\(\[]\s*{LABEL}\s*[\)\]]", " ")
     t = F.regexp_replace(t, rf"(?i)\s*[-–—]\s*{LABEL}\s*$", " ")
     return _squeeze(F.regexp_replace(t, rf"(?i)\s+{RATING}\s+(?:ver\.?|version|edition)\.?\s*$", " "))
@@ -114,7 +120,10 @@ def clean_title(c: Column, form=nfkc) -> Column:
 # Fixed values from here to the end of ``version_signature``: patterns of guests and versions.
 def feature_signature(c: Column, norm=norm_db) -> Column:
     """Normalised guests that a title names, else empty."""
-    text = F.coalesce(c, F.lit(""))
+    return norm(let(F.coalesce(c, F.lit("")), lambda x: F.when(x.rlike(r"(?i)feat|ft"), _guests_named(x)).otherwise("")))
+
+
+def _guests_named(text: Column) -> Column:
     found = [
         F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
         for p in (
@@ -123,19 +132,25 @@ def feature_signature(c: Column, norm=norm_db) -> Column:
             r"(?i)\b(?:feat\.?|ft\.?|featuring)\s+(.+)$",
         )
     ]
-    return norm(F.trim(F.regexp_extract(F.coalesce(*found, F.lit("")), r"^([^\)\]\-_:|]*)", 1)))
+    return F.trim(F.regexp_extract(F.coalesce(*found, F.lit("")), r"^([^\)\]\-_:|]*)", 1))
+
+
+# What is in a text that has any of the marks below, so that others need no search for each.
+ANY_MARK = "remix|acoustic|live|inst|karaoke|sped|slowed|cover|arrange|ver|edit"
 
 
 def version_signature(c: Column, form=nfkc) -> Column:
     """Marks of another recording (``remix:night|live``), in order, joined by |."""
     text = F.regexp_replace(F.lower(strip_rating(c, form)), r"\b(?:feat\.?|ft\.?|featuring)\b.*", " ")
+    return let(text, lambda x: F.when(x.rlike(ANY_MARK), _marked(x)).otherwise(""))
+
+
+def _marked(text: Column) -> Column:
     groups = F.regexp_extract_all(text, F.lit(r"[\(\[]([^\)\]]+)[\)\]]"), 1)
     tail = F.array_compact(F.array(F.nullif(F.regexp_extract(text, r"\s[-–—]\s(.+)$", 1), F.lit(""))))
-    chunks = F.concat(groups, tail)
-    chunks = F.when(F.size(chunks) > 0, chunks).otherwise(F.array(text))
+    chunks = let(F.concat(groups, tail), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(text)))
 
-    def marks(chunk: Column) -> Column:
-        t = _kept(chunk)
+    def marks(t: Column) -> Column:
         prefix = F.trim(F.regexp_replace(t, r"\bremix\b.*$", ""))
         locale = F.regexp_extract(t, rf"\b({LOCALES})?\s*(?:ver|version|edition|edit)\b", 1)
         other = (
@@ -155,7 +170,7 @@ def version_signature(c: Column, form=nfkc) -> Column:
             )
         )
 
-    return F.array_join(F.array_distinct(F.flatten(F.transform(chunks, marks))), "|")
+    return F.array_join(F.array_distinct(F.flatten(F.transform(F.transform(chunks, _kept), marks))), "|")
 
 
 def identity_key(title: Column, artist: Column, video: Column, norm=norm_db, form=nfkc) -> Column:

@@ -2,14 +2,15 @@
 
 A snapshot is in force at consecutive dates, so an entry is kept once with the
 first and last of them. Entries are shuffled once, by video; the dates are
-unfolded in the task that sums a video up, and never written. Songs of a video
-have a place in it, so that names are chosen by numbers and looked up at the end.
+unfolded in the task that sums a video up, and never written. The report is
+summed up twice: over the rows of its groups for the first places of each date,
+then with names over all rows of these.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,20 +21,20 @@ from chartlake.functions.scoring import rank_score
 from chartlake.operators.report import NO_RANK, SERIES, priority, report_order, song_entities
 from chartlake.runtime import broadcast_if_small, materialize
 
+NAMED = ("video_id", "identity", "track_uid", "album_id", "artwork_url", "title", "artist", "album", "yt_title", "yt_artist", "yt_album")
 HEAD = ("raw_service", "raw_job_name", "raw_source_variant", "raw_reference_period", "raw_delivered_at")
-#: Room of the last part of a packed order; ranks are 32 bits.
-ROOM = 1 << 30
+#: Rows of some 150 bytes that may be broadcast here; the driver holds several of them at once.
+SMALL = 50_000
 
 
 @dataclass
 class Spans:
     """``heads``: deliveries in force with ``sid`` (place of their series) and ``first``, ``last`` (places of dates);
-    ``songs``: their entities; ``videos``: names by video; ``days``: place and text of each date;
+    ``songs``: their entities; ``days``: place and text of each date;
     ``entries``: rows as delivered, with the columns of HEAD, ``song_id`` and ``rank_order``."""
 
     heads: DataFrame
     songs: DataFrame
-    videos: DataFrame
     days: DataFrame
     entries: DataFrame
     shared: bool
@@ -54,44 +55,33 @@ def spans(entries: DataFrame, heads: DataFrame, inforce: DataFrame, bindings: Da
     # Only a video with an identity that another video has too can lead or follow one at some date.
     tied = materialize(songs.join(multi, "identity", "left_semi").select("video_id").distinct(), "tied")
     shared = bool(tied.head(1))
-    text = lambda c: F.nullif(F.col(c), F.lit(""))
-    at = W.partitionBy("video_id")
-    place = {"place": F.row_number().over(at.orderBy("song_id", "service"))}
-    place |= {f"n_{c}": F.when(text(c).isNotNull(), F.dense_rank().over(at.orderBy(text(c).asc_nulls_last()))) for c in ("yt_title", "yt_artist")}
-    songs = songs.withColumns(place)
     if shared:
         songs = songs.join(tied.withColumn("tied", F.lit(True)), "video_id", "left").withColumn("tied", F.coalesce("tied", F.lit(False)))
+        songs = materialize(songs, "songs")
     else:
         songs = songs.withColumn("tied", F.lit(False))
-    songs = materialize(songs, "songs")
-    videos = songs.groupBy("video_id").agg(
-        F.sort_array(F.collect_list(F.struct("place", text("title").alias("title"), text("artist").alias("artist"), "yt_title"))).alias("by_place"),
-        F.sort_array(F.collect_set(text("yt_title"))).alias("yt_titles"), F.sort_array(F.collect_set(text("yt_artist"))).alias("yt_artists"),
-    )
-    return Spans(h, songs, materialize(videos, "videos"), days, entries, shared)
+    return Spans(h, songs, days, entries, shared)
 
 
 def _met(s: Spans, songs: DataFrame, *keep: str) -> DataFrame:
     """Entries in force with their song: small sides are broadcast, else shuffled."""
-    h = broadcast_if_small(s.heads).withColumnRenamed("service", "h_service")
+    h = broadcast_if_small(s.heads, SMALL).withColumnRenamed("service", "h_service")
     same = reduce(lambda a, b: a & b, [s.entries[c].eqNullSafe(h[c]) for c in HEAD])
     rows = s.entries.join(h, same).select("h_service", "song_id", "rank_order", *[c for c in h.columns if c not in (*HEAD, "h_service")])
-    songs = songs.select(F.col("service").alias("__service"), F.col("song_id").alias("__song"), *keep)
-    small = s.songs.count() <= broadcast_rows()
-    songs = F.broadcast(songs) if small else songs.hint("shuffle_hash")
+    songs = broadcast_if_small(songs.select(F.col("service").alias("__service"), F.col("song_id").alias("__song"), *keep), SMALL)
     return rows.join(songs, (rows["h_service"] == songs["__service"]) & (rows["song_id"] == songs["__song"])).drop("__service", "__song").withColumnRenamed("h_service", "service")
 
 
-def broadcast_rows() -> int:
-    from chartlake import runtime
+def placed_songs(s: Spans) -> DataFrame:
+    """Songs of videos that are groups of their own at every date, with their place in the video."""
+    place = F.row_number().over(W.partitionBy("video_id").orderBy("song_id", "service"))
+    return materialize(s.songs.where(~F.col("tied")).withColumn("place", place), "places")
 
-    return runtime.BROADCAST_ROWS
 
-
-def ranked_songs(s: Spans) -> DataFrame:
-    """One row per snapshot and song of a video that is a group of its own at every date, partitioned by video."""
-    rows = _met(s, s.songs.where(~F.col("tied")), "video_id", "place", (F.coalesce("title", F.lit("")) != "").alias("has_title"), (F.coalesce("artist", F.lit("")) != "").alias("has_artist"), "n_yt_title", "n_yt_artist")
-    rows = rows.select("video_id", "place", "rank_order", "sid", "first", "last", "hype_group", "weight", "has_title", "has_artist", "n_yt_title", "n_yt_artist").repartition("video_id")
+def ranked_songs(s: Spans, songs: DataFrame) -> DataFrame:
+    """One row per snapshot and song of ``placed_songs``, partitioned by video."""
+    rows = _met(s, songs, "video_id", "place")
+    rows = rows.select("video_id", "place", "rank_order", "sid", "first", "last", "hype_group", "weight").repartition("video_id")
     return rows.groupBy(*[c for c in rows.columns if c != "rank_order"]).agg(F.min("rank_order").alias("rank_order"))
 
 
@@ -100,7 +90,7 @@ def tied_rows(s: Spans) -> DataFrame | None:
     an identity with others; None without any."""
     if not s.shared:
         return None
-    rows = _met(s, s.songs.where("tied"), "video_id", "identity", "track_uid", "album_id", "artwork_url", "title", "artist", "album", "yt_title", "yt_artist", "yt_album")
+    rows = _met(s, s.songs.where("tied"), *NAMED)
     rows = rows.groupBy(*[c for c in rows.columns if c != "rank_order"]).agg(F.min("rank_order").alias("rank_order"))
     rows = rows.withColumn("day", F.explode(F.sequence("first", "last"))).drop("first", "last", "sid")
     return rows.join(F.broadcast(s.days), "day").drop("day")
@@ -115,21 +105,10 @@ def _part() -> Column:
 
 
 def _unfolded(s: Spans) -> DataFrame:
-    """Per date, video and series: least rank, greatest part, entries, and the
-    places of the songs that give names. Unfolded last, in the same task."""
-    r = ranked_songs(s).withColumns({"__rank": _rank().cast("bigint"), "__part": _part()})
-    turn = F.col("__rank") * ROOM + F.col("place")
-    # Of the artists, those of rows with a title come first.
-    second = F.when(F.col("has_title"), F.lit(0)).otherwise(F.lit(1)).cast("bigint") * (1 << 62)
-    pick = lambda when, order: F.when(when, order)
-    g = r.groupBy("video_id", "sid", "first", "last", "hype_group").agg(
-        F.min("rank_order").alias("rank_order"), F.max("__part").alias("__part"), F.count("*").alias("n"),
-        F.min_by("place", pick(F.col("has_title"), turn)).alias("t_place"), F.min(pick(F.col("has_title"), F.col("__rank"))).alias("t_rank"),
-        F.min_by("place", pick(F.col("has_artist"), turn + second)).alias("a_place"),
-        F.min(pick(F.col("has_artist"), F.col("__rank") * ROOM + F.col("sid") + second)).alias("a_turn"),
-        F.max("n_yt_title").alias("n_yt_title"), F.max("n_yt_artist").alias("n_yt_artist"),
-    )
-    g = g.withColumn("t_turn", F.col("t_rank") * ROOM + F.col("sid"))
+    """Per date, video and series: least rank, greatest part, entries. Unfolded
+    last, in the same task."""
+    r = ranked_songs(s, placed_songs(s)).withColumn("__part", _part())
+    g = r.groupBy("video_id", "sid", "first", "last", "hype_group").agg(F.min("rank_order").alias("rank_order"), F.max("__part").alias("__part"), F.count("*").alias("n"))
     return g.withColumn("day", F.explode(F.sequence("first", "last")))
 
 
@@ -145,30 +124,48 @@ def _total(groups: Sequence[str]) -> Column:
     return sum((F.col(f"__{g}") for g in groups), F.lit(0.0))
 
 
+def first_places(s: Spans, groups: Sequence[str], top: int, tied: DataFrame | None) -> DataFrame:
+    """``chart_date, day, video_id``: who is within the first ``top`` places of a
+    date before names break ties. Rows of other groups do not count, nor do
+    repeated ones, so only what has a group is read and summed up here.
+    ``tied`` has the grouped rows of ``tied_rows``."""
+    heads = s.heads.where(F.col("hype_group").isin(*groups))
+    # The jobs of these groups hold a part of all entries; the others are not shuffled.
+    jobs = materialize(heads.select("raw_job_name").distinct(), "jobs")
+    entries = s.entries.join(broadcast_if_small(jobs, SMALL), "raw_job_name", "left_semi")
+    rows = _met(replace(s, heads=heads, entries=entries), s.songs.where(~F.col("tied")), "video_id")
+    rows = rows.select("video_id", "first", "last", "hype_group", "rank_order", _part().alias("__part")).repartition("video_id")
+    spans = rows.groupBy("video_id", "first", "last").agg(*_sums(groups)).withColumn("day", F.explode(F.sequence("first", "last")))
+    each = [F.min(f"{g}_rank").alias(f"{g}_rank") for g in groups] + [F.max(f"__{g}").alias(f"__{g}") for g in groups]
+    out = spans.groupBy("day", "video_id").agg(*each)
+    if tied is not None:
+        t = tied.withColumn("__part", _part()).groupBy("chart_date", "video_id").agg(*_sums(groups)).join(F.broadcast(s.days), "chart_date")
+        out = out.unionByName(t.select(*out.columns))
+    out = out.withColumn("__total", _total(groups)).where("__total > 0").withColumn("hype_index", F.round("__total", 2))
+    order = report_order(groups, "video_id")
+    out = out.withColumn("__r", F.rank().over(W.partitionBy("day").orderBy(*order[:-2]))).where(F.col("__r") <= top)
+    return materialize(out.select("day", "video_id").join(F.broadcast(s.days), "day"), "first")
+
+
 def hype_report(s: Spans, groups: Sequence[str], top: int) -> DataFrame:
-    """``report.hype_report`` of the first ``top`` places of each date, with
-    ``title``, ``artist`` and ``entries``."""
+    """``report.hype_report`` of the first ``top`` places of each date: over all
+    rows of those who may be there."""
     from chartlake.operators import report
 
-    out = _unfolded(s).groupBy("day", "video_id").agg(
-        *_sums(groups), F.min_by("t_place", "t_turn").alias("t_place"), F.min_by("a_place", "a_turn").alias("a_place"),
-        F.max("n_yt_title").alias("n_yt_title"), F.max("n_yt_artist").alias("n_yt_artist"), F.sum("n").alias("entries"),
-    )
-    out = out.withColumns({"title": F.lit(None).cast("string"), "artist": F.lit(None).cast("string")})
-    if (tied := tied_rows(s)) is not None:
-        t = report.entity_sums(report.grouped_rows(tied), groups, "video_id").join(F.broadcast(s.days), "chart_date")
-        none = {c: F.lit(None).cast("int") for c in ("t_place", "a_place", "n_yt_title", "n_yt_artist")}
-        out = out.unionByName(t.withColumns(none).select(*out.columns))
-    out = out.withColumn("__total", _total(groups)).where("__total > 0").withColumn("hype_index", F.round("__total", 2)).drop("__total", *[f"__{g}" for g in groups])
-    order = report_order(groups, "video_id")
-    # Names break ties only: whoever is beyond the last place without them is so with them.
-    out = out.withColumn("__r", F.rank().over(W.partitionBy("day").orderBy(*order[:-2]))).where(F.col("__r") <= top).drop("__r")
-    names = broadcast_if_small(s.videos)
-    out = out.join(names, "video_id", "left")
-    name = lambda f, c: F.coalesce(f, F.try_element_at("by_place", F.col(f"{c}_place"))[f], F.try_element_at(f"yt_{f}s", F.col(f"n_yt_{f}")))
-    out = out.select("day", "video_id", *[f"{g}_rank" for g in groups], name("title", "t").alias("title"), name("artist", "a").alias("artist"), "entries", "hype_index")
-    out = out.withColumn("hype_rank", F.row_number().over(W.partitionBy("day").orderBy(*order))).where(F.col("hype_rank") <= top)
-    return out.join(F.broadcast(s.days), "day").drop("day")
+    tied = tied_rows(s)
+    tied = None if tied is None else report.grouped_rows(tied)
+    first = first_places(s, groups, top, tied)
+    # At most as many as dates and places, but for ties.
+    songs = s.songs.where(~F.col("tied")).join(broadcast_if_small(first, SMALL).select("video_id").distinct(), "video_id", "left_semi")
+    songs = materialize(songs, "first_songs")
+    entries = s.entries.join(broadcast_if_small(songs, SMALL).select("song_id").distinct(), "song_id", "left_semi")
+    rows = _met(replace(s, entries=entries), songs, *NAMED)
+    at = broadcast_if_small(first, SMALL).withColumnRenamed("video_id", "__video")
+    rows = rows.join(at, (rows["video_id"] == at["__video"]) & at["day"].between(rows["first"], rows["last"])).drop("__video", "day", "first", "last", "sid")
+    rows = rows.groupBy(*[c for c in rows.columns if c != "rank_order"]).agg(F.min("rank_order").alias("rank_order"))
+    if tied is not None:
+        rows = rows.unionByName(tied.join(at, (tied["video_id"] == at["__video"]) & (tied["chart_date"] == at["chart_date"]), "left_semi").select(*rows.columns))
+    return report.hype_report(rows, groups, top=top)
 
 
 def components(s: Spans) -> DataFrame:
@@ -211,9 +208,10 @@ def newest_names(s: Spans) -> DataFrame:
 
     # The last date before the rank: both fit into one number.
     newest = F.col("last").cast("bigint") * -(1 << 33) + _rank()
-    r = ranked_songs(s).where("n_yt_title is not null").groupBy("video_id", "place").agg(F.min(newest).alias("newest"))
-    first = r.groupBy("video_id").agg(F.min(F.struct("newest", "place")).alias("x"))
-    out = first.join(broadcast_if_small(s.videos.select("video_id", "by_place")), "video_id").select("video_id", F.try_element_at("by_place", F.col("x.place"))["yt_title"].alias("name"))
+    songs = placed_songs(s).where("yt_title <> ''")
+    r = ranked_songs(s, songs).groupBy("video_id", "place").agg(F.min(newest).alias("newest"))
+    first = r.groupBy("video_id").agg(F.min(F.struct("newest", "place")).alias("x")).select("video_id", "x.place")
+    out = first.join(songs.select("video_id", "place", F.col("yt_title").alias("name")), ["video_id", "place"]).select("video_id", "name")
     if (tied := tied_rows(s)) is not None:
         t = report.grouped_rows(tied).select("chart_date", "video_id", F.col("yt_title").alias("name"), F.col("song_id").alias("title"), _rank().alias("hype_rank"))
         out = out.unionByName(history.track_fields(t, ["name"]).where("name is not null").select("video_id", "name"))

@@ -74,9 +74,11 @@ def dims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     rows = keyed("platform_song_ids").where("track_uid <> ''")
     bind = merge.merge(rows.limit(0), rows, keys, rules, ["created_at", "track_uid"]).select("service", "song_id", "track_uid")
     keys, rules = merge.TABLES["track_list"]
-    rows = keyed("track_list").withColumns({f"__{c}": F.coalesce(c, F.lit("")) for c in rules})
-    names = merge.merge(rows.limit(0), rows, keys, rules, [f"__{c}" for c in rules])
-    names = names.select(*keys, *[F.nullif(F.col(c), F.lit("")).alias(c) for c in rules])
+    # All names take the last filled text: the distinct versions of a song, few, are put in order once for all of them.
+    rows = keyed("track_list").select(*keys, F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in rules]).alias("x"))
+    names = rows.groupBy(*keys).agg(F.sort_array(F.collect_set("x")).alias("xs"))
+    last = lambda c: F.try_element_at(F.filter("xs", lambda x: x[c] != ""), F.lit(-1))[c]
+    names = names.select(*keys, *[last(c).alias(c) for c in rules])
     return bind, table(spark, d, "tracks"), names, weighted_jobs(table(spark, d, "sync_jobs"))
 
 
