@@ -114,4 +114,4 @@ def test_what_grows_is_not_broadcast(spark, sf, monkeypatch):
         assert got == want != [] and all(c in ({"day", "chart_date"}, {"dates"}) for c in seen), name
 
 
-NOT_BROADCAST = ("report_digest", "history_compact")
+NOT_BROADCAST = ("report_digest", "history_compact", "hype_report_top")
