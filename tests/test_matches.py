@@ -154,3 +154,30 @@ def test_repairs(spark):
         new = spark.createDataFrame([("v", "new", 1)], TABLES["yt_video_ids"])
         got = merge.merge(old, new, keys, rules, ["track_uid"]).first()
         assert got.track_uid == want and got.is_canonical == (0 if kind.endswith("keep") else 1)
+
+
+def test_pairs_are_scored_where_they_meet(spark, sf):
+    import __spark_entry__ as entry
+    from chartlake import runtime
+
+    before = len(runtime._written)
+    df = entry.queries()["candidate_scores"](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # No pair is written, and one join is all: names are not measured beside the pairs and joined back.
+    assert df.count() > 0 and len(runtime._written) == before and plan.count("Join ") == 1
+
+
+def test_pair_values(spark):
+    from pyspark.sql import functions as F
+
+    from chartlake.functions.similarity import name_forms, pair_values, similarity
+    from chartlake.operators.candidates import _forms_crossed
+
+    names = ["Sun", "sun", "Sun Rise", "Sun (feat. A)", "Sun 2", "Sun 3 (Explicit)", "(Explicit)", "Ｓｕｎ", "태양", "태양의 밤", " ", "Topic - Topic", "Sun - Live"]
+    one = spark.createDataFrame([(names, names)], "xs array<string>, ys array<string>")
+    for title in (True, False):
+        forms = one.select(name_forms(F.col("xs"), title).alias("f"), name_forms(F.col("ys"), title).alias("g"))
+        got = forms.select(_forms_crossed("k", F.col("f"), F.col("g"), title).alias("p")).select(F.inline(pair_values(F.col("p")))).select("x", "y", "value")
+        each = one.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+        want = each.select("x", "y", similarity(F.col("x"), F.col("y"), title).alias("value"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
