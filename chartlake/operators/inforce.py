@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from chartlake.functions.scoring import rank_score
 from chartlake.operators.report import NO_RANK, SERIES, priority, report_order, song_entities
-from chartlake.runtime import broadcast_if_small, materialize
+from chartlake.runtime import broadcast_if_small, materialize, never_broadcast
 
 NAMED = ("video_id", "identity", "track_uid", "album_id", "artwork_url", "title", "artist", "album", "yt_title", "yt_artist", "yt_album")
 HEAD = ("raw_service", "raw_job_name", "raw_source_variant", "raw_reference_period", "raw_delivered_at")
@@ -48,15 +48,15 @@ def spans(entries: DataFrame, heads: DataFrame, inforce: DataFrame, bindings: Da
     series = heads.select(*SERIES).distinct().withColumn("sid", F.row_number().over(W.orderBy(priority(), *SERIES)))
     when = inforce.join(F.broadcast(days), "chart_date").groupBy(*SERIES, "period").agg(F.min("day").alias("first"), F.max("day").alias("last"))
     j = jobs.select("job_name", "hype_group", F.col("hype_weight").alias("weight"))
-    h = heads.join(when, [*SERIES, "period"]).join(series, list(SERIES)).join(j, "job_name", "left")
+    h = heads.join(never_broadcast(when), [*SERIES, "period"]).join(never_broadcast(series), list(SERIES)).join(j, "job_name", "left")
     h = materialize(h.select(*HEAD, *SERIES, "sid", "first", "last", "hype_group", "weight"), "heads")
     songs = materialize(song_entities(bindings, tracks, metadata), "songs")
     multi = songs.groupBy("identity").agg(F.min("video_id").alias("lo"), F.max("video_id").alias("hi")).where("lo <> hi").select("identity")
     # Only a video with an identity that another video has too can lead or follow one at some date.
-    tied = materialize(songs.join(multi, "identity", "left_semi").select("video_id").distinct(), "tied")
+    tied = materialize(songs.join(never_broadcast(multi), "identity", "left_semi").select("video_id").distinct(), "tied")
     shared = bool(tied.head(1))
     if shared:
-        songs = songs.join(tied.withColumn("tied", F.lit(True)), "video_id", "left").withColumn("tied", F.coalesce("tied", F.lit(False)))
+        songs = songs.join(never_broadcast(tied.withColumn("tied", F.lit(True))), "video_id", "left").withColumn("tied", F.coalesce("tied", F.lit(False)))
         songs = materialize(songs, "songs")
     else:
         songs = songs.withColumn("tied", F.lit(False))

@@ -13,7 +13,7 @@ from chartlake.functions.scoring import rank_score
 from chartlake.functions.text import identity_key
 from chartlake.operators.asof import effective_periods
 from chartlake.operators.components import resolve_chains
-from chartlake.runtime import materialize
+from chartlake.runtime import materialize, never_broadcast
 
 SERIES = ("service", "job_name", "source_variant")
 # Services in the order in which their attributes are preferred.
@@ -40,7 +40,7 @@ def song_entities(bindings: DataFrame, tracks: DataFrame, metadata: DataFrame) -
         "service", "song_id", "album_id", "artwork_url",
         *[F.coalesce(filled(f"{f}_ko"), F.col(f"{f}_en")).alias(f) for f in ("title", "artist", "album")],
     )
-    songs = bindings.select("service", "song_id", "track_uid").join(t, "track_uid").join(names, ["service", "song_id"], "left")
+    songs = bindings.select("service", "song_id", "track_uid").join(never_broadcast(t), "track_uid").join(never_broadcast(names), ["service", "song_id"], "left")
     return songs.withColumn("identity", identity_key(*[F.coalesce(filled(c), F.col(f"yt_{c}")) for c in ("title", "artist")], F.col("video_id")))
 
 

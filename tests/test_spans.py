@@ -1,13 +1,15 @@
 """The report over spans of dates against the report over rows of each date."""
 
 import random
+import re
 from datetime import datetime
 
 import pytest
 
 import __spark_entry__ as entry
 from chartlake import runtime
-from chartlake.operators import asof, history, inforce, report
+from chartlake.operators import asof, components, history, inforce, report
+from chartlake.plans import charts
 
 GROUPS = ("apple", "melon")
 SERIES = ["service", "job_name", "source_variant"]
@@ -115,3 +117,30 @@ def test_what_grows_is_not_broadcast(spark, sf, monkeypatch):
 
 
 NOT_BROADCAST = ("report_digest", "history_compact", "hype_report_top")
+
+
+def test_what_grows_is_never_broadcast_by_estimate(spark, sf, monkeypatch):
+    """A session that broadcasts by the size of files gets only what does not grow."""
+    plans, plain = [], runtime.materialize
+
+    def planned(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    for module in (charts, inforce, report, components):
+        monkeypatch.setattr(module, "materialize", planned)
+    monkeypatch.setattr(inforce, "SMALL", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for name in NEVER_BROADCAST:
+        plans.clear()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+        try:
+            planned(entry.queries()[name](spark, sf), "out")
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        keys = {re.sub(r"#\d+L?", "", k) for p in plans for k in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", p)}
+        # Dates, and the jobs of the configuration.
+        assert len(plans) > 5 and keys <= {"day", "chart_date", "job_name"}, (name, keys)
+
+
+NEVER_BROADCAST = ("history_compact",)
