@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartlake.runtime import materialize
+from chartlake.runtime import materialize, never_broadcast
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -60,7 +60,7 @@ def resolve_chains(moves: DataFrame, old: str, new: str, most_rounds: int = 60)
     m = materialize(m, "moves")
     for _ in range(most_rounds):
         nxt = m.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        jumped = m.join(nxt, "b", "left").select("a", F.coalesce("c", "b").alias("to"), (F.col("c").isNotNull() & (F.col("c") != F.col("b"))).alias("far"))
+        jumped = m.join(never_broadcast(nxt), "b", "left").select("a", F.coalesce("c", "b").alias("to"), (F.col("c").isNotNull() & (F.col("c") != F.col("b"))).alias("far"))
         jumped = materialize(jumped, "moves")
         far, cyclic = jumped.agg(F.count_if(F.col("far") & (F.col("a") != F.col("to"))), F.count_if(F.col("a") == F.col("to"))).first()
         if cyclic:

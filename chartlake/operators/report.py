@@ -62,15 +62,15 @@ def grouped_rows(rows: DataFrame) -> DataFrame:
     seen = rows.groupBy("chart_date", "video_id", "identity").agg(F.min(turn).alias("turn"), F.min(best).alias("best"))
     videos = seen.groupBy("chart_date", "video_id").agg(F.min_by("identity", "turn").alias("identity"), F.min("best").alias("best"))
     leads = seen.groupBy("chart_date", "identity").agg(F.min_by("video_id", "turn").alias("__lead"))
-    videos = materialize(videos.join(leads, ["chart_date", "identity"]), "videos")
+    videos = materialize(videos.join(never_broadcast(leads), ["chart_date", "identity"]), "videos")
     node = lambda v: F.concat_ws("/", "chart_date", v)
     moves = videos.where("__lead <> video_id").select(node("video_id").alias("old"), node("__lead").alias("new"))
     ends = resolve_chains(moves, "old", "new")
-    videos = videos.withColumn("__node", node("video_id")).join(ends, F.col("__node") == F.col("old"), "left")
+    videos = videos.withColumn("__node", node("video_id")).join(never_broadcast(ends), F.col("__node") == F.col("old"), "left")
     top = F.coalesce("new", "__node")
     mains = videos.groupBy(top.alias("__top")).agg(F.min_by("video_id", "best").alias("__main"))
-    main = videos.withColumn("__top", top).join(mains, "__top").where("__main <> video_id").select("chart_date", "video_id", "__main")
-    out = rows.join(main, ["chart_date", "video_id"], "left")
+    main = videos.withColumn("__top", top).join(never_broadcast(mains), "__top").where("__main <> video_id").select("chart_date", "video_id", "__main")
+    out = rows.join(never_broadcast(main), ["chart_date", "video_id"], "left")
     return out.withColumn("video_id", F.coalesce("__main", "video_id")).drop("__main")
 
 

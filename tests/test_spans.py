@@ -143,4 +143,27 @@ def test_what_grows_is_never_broadcast_by_estimate(spark, sf, monkeypatch):
         assert len(plans) > 5 and keys <= {"day", "chart_date", "job_name"}, (name, keys)
 
 
-NEVER_BROADCAST = ("history_compact",)
+NEVER_BROADCAST = ("history_compact", "hype_report_top")
+
+
+def test_groups_of_videos_are_never_broadcast_by_estimate(spark, monkeypatch):
+    """Videos that share an identity, of which the report of every date has the groups."""
+    plans, plain = [], runtime.materialize
+
+    def planned(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    for module in (inforce, report, components):
+        monkeypatch.setattr(module, "materialize", planned)
+    monkeypatch.setattr(inforce, "SMALL", -1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        s = _made(spark, True)[1]
+        plans.clear()
+        planned(inforce.hype_report(s, GROUPS, 200), "out")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    keys = {re.sub(r"#\d+L?", "", k) for p in plans for k in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", p)}
+    assert s.shared and len(plans) > 5 and keys <= {"day", "chart_date"}, keys
